@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm import forms, tokens
+from vecspark.llm import budget, forms, near, packing, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.found_pairs(_table(spark, d, "store_documents"), threshold=0.6)
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_groups(_table(spark, d, "store_documents"), threshold=0.6)
+
+
+def p5_budget(spark: SparkSession, d: str) -> DataFrame:
+    return budget.token_budget(_table(spark, d, "store_documents"), _table(spark, d, "sources"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return forms.found_copies(_table(spark, d, "store_documents"))
 
@@ -23,5 +35,9 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_collapsed, p8_ids)}
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_texts(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p5_budget, p6_found, p6_collapsed, p8_ids, p9_packed)}
 ORACLE: dict[str, str] = {}

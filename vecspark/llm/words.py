@@ -31,17 +31,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Tables:
-    """Per-process tables: which code points are letters or digits."""
+    """Per-process tables over all code points: letter or digit, and a 64-bit
+    hash of each."""
 
     alnum: np.ndarray | None = None
+    hashed: np.ndarray | None = None
 
     @classmethod
-    def get(cls) -> np.ndarray:
+    def get(cls) -> tuple[np.ndarray, np.ndarray]:
         if cls.alnum is None:
-            cls.alnum = np.fromiter(
-                (chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1
-            )
-        return cls.alnum
+            n = sys.maxunicode + 1
+            cls.hashed = mix(np.arange(n, dtype=np.uint64))
+            cls.alnum = np.fromiter((chr(c).isalnum() for c in range(n)), bool, n)
+        return cls.alnum, cls.hashed
 
 
 class _Powers:
@@ -52,78 +54,93 @@ class _Powers:
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
             n = max(n, _BLOCK)
-            with np.errstate(over="ignore"):
-                for name, base in (("up", _BASE), ("down", _BASE_INV)):
-                    a = np.full(n, base, np.uint64)
-                    a[0] = 1
-                    setattr(cls, name, np.multiply.accumulate(a))
+            for name, base in (("up", _BASE), ("down", _BASE_INV)):
+                a = np.full(n, base, np.uint64)
+                a[0] = 1
+                setattr(cls, name, np.multiply.accumulate(a))
         return cls.up[:n], cls.down[:n]
 
 
-def _block_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of every text) of a block."""
-    joined = "\n".join(texts)
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+class Words:
+    """Hashes of a batch of texts: ``words`` (flat), ``counts`` (words per
+    text), ``letters`` (one per text: its letters and digits in order)."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, letters: np.ndarray):
+        self.words, self.counts, self.letters = words, counts, letters
+
+    def sequences(self) -> np.ndarray:
+        """One hash per text: its words in order."""
+        n = len(self.words)
+        up, down = _Powers.get(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.words * up[:n], out=total[1:])
+        end = np.cumsum(self.counts)
+        start = end - self.counts
+        return mix((total[end] - total[start]) * down[start] + self.counts.astype(np.uint64))
+
+
+def _block(texts: list[str]) -> Words:
+    cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alnum, hashed = _Tables.get()
     n = len(cp)
     ok = np.zeros(n + 2, bool)
-    ok[1:-1] = _Tables.get()[cp]
+    ok[1:-1] = alnum[cp]
     edge = np.flatnonzero(ok[1:] != ok[:-1])  # starts and ends, in turn
     start, end = edge[0::2], edge[1::2]
-    up, down = _Powers.get(n + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(cp.astype(np.uint64)) * up[:n], out=total[1:])
-        words = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    last = np.cumsum(size)
-    upto = np.searchsorted(start, last, "left")
-    return words, np.diff(upto, prepend=0)
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Flat word hashes of lower-cased texts and the word count of each text.
-
-    A null counts as the empty text.  Long texts are not cut: a block simply
-    holds a single one of them.
-    """
-    hashes, counts, block, size = [], [], [], 0
+    kept = hashed[cp[ok[1:-1]]]
+    m = len(kept)
+    up, down = _Powers.get(m + 1)
+    total = np.zeros(m + 1, np.uint64)
+    np.cumsum(kept * up[:m], out=total[1:])
+    size = end - start
+    last = np.cumsum(size)  # ends of words among the letters kept
+    first = last - size
+    words = mix((total[last] - total[first]) * down[first] + size.astype(np.uint64))
+    border = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    upto = np.searchsorted(start, border, "left")
+    counts = np.diff(upto, prepend=0)
+    ends = np.concatenate(([0], last))[upto]
+    begins = np.concatenate(([0], ends[:-1]))
+    letters = mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+    return Words(words, counts, letters)
+
+
+def read(texts: list[str | None]) -> Words:
+    """Hash a batch.  A null counts as the empty text; texts are not cut: a
+    block may hold a single long one."""
+    parts, block, size = [], [], 0
     for t in texts:
         t = (t or "").lower()
         block.append(t)
         size += len(t)
         if size >= _BLOCK:
-            h, c = _block_words(block)
-            hashes.append(h)
-            counts.append(c)
+            parts.append(_block(block))
             block, size = [], 0
-    if block:
-        h, c = _block_words(block)
-        hashes.append(h)
-        counts.append(c)
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(counts)
-
-
-def shingles(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flat hashes of each text's distinct n-word shingles, sorted within the
-    text, and their number per text (0 where a text has fewer than n words)."""
+    if block or not parts:
+        parts.append(_block(block))
+    return Words(*(np.concatenate([getattr(p, k) for p in parts]) for k in ("words", "counts", "letters")))
+
+
+def shingles(w: Words, n: int, distinct: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Flat hashes of each text's n-word shingles and their number per text (0
+    where a text has fewer than n words).  ``distinct``: each once, sorted."""
+    words, counts = w.words, w.counts
     docs = len(counts)
     if len(words) < n:
         return np.empty(0, np.uint64), np.zeros(docs, np.int64)
-    with np.errstate(over="ignore"):
-        h = words[: len(words) - n + 1].copy()
-        for k in range(1, n):
-            h = mix(h * np.uint64(3)) + words[k : len(words) - n + 1 + k]
-        h = mix(h)
+    h = words[: len(words) - n + 1].copy()
+    for k in range(1, n):
+        h = mix(h * np.uint64(3)) + words[k : len(words) - n + 1 + k]
+    h = mix(h)
     owner = np.repeat(np.arange(docs), counts)
     keep = owner[: len(h)] == owner[n - 1 :]
     h, owner = h[keep], owner[: len(h)][keep]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
+    if distinct:
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        h, owner = h[new], owner[new]
     return h, np.bincount(owner, minlength=docs)
 
 
@@ -135,7 +152,7 @@ def signatures(h: np.ndarray, counts: np.ndarray, k: int, seed: int = 1) -> np.n
         return out
     starts = np.concatenate(([0], np.cumsum(counts[has])[:-1]))
     rng = np.random.RandomState(seed)
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore"):  # numpy warns of scalars that wrap around
         for j in range(k):
             a = np.uint64(rng.randint(0, 1 << 31) * 4 + 1) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
             b = np.uint64(rng.randint(0, 1 << 31)) * np.uint64(0xD6E8FEB86659FD93)
