@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm import budget, forms, near, packing, tokens
+from vecspark.llm import budget, forms, link, near, packing, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(_table(spark, d, "store_documents"), threshold=0.6)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return link.found_links(_table(spark, d, "incoming_batches"), _table(spark, d, "store_documents"))
+
+
+def p3_representatives(spark: SparkSession, d: str) -> DataFrame:
+    return link.representatives(_table(spark, d, "incoming_batches"), _table(spark, d, "store_documents"))
+
+
 def p5_budget(spark: SparkSession, d: str) -> DataFrame:
     return budget.token_budget(_table(spark, d, "store_documents"), _table(spark, d, "sources"))
 
@@ -39,5 +47,5 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p5_budget, p6_found, p6_collapsed, p8_ids, p9_packed)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_representatives, p5_budget, p6_found, p6_collapsed, p8_ids, p9_packed)}
 ORACLE: dict[str, str] = {}
