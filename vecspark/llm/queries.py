@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm import budget, forms, link, near, packing, tokens
+from vecspark.llm import budget, clusters, forms, link, near, packing, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.found_clusters(_table(spark, d, "points"))
+
+
+def p1_described(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.described(_table(spark, d, "points"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.found_pairs(_table(spark, d, "store_documents"), threshold=0.6)
 
@@ -47,5 +55,5 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p3_found, p3_representatives, p5_budget, p6_found, p6_collapsed, p8_ids, p9_packed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_groups, p3_found, p3_representatives, p5_budget, p6_found, p6_collapsed, p8_ids, p9_packed)}
 ORACLE: dict[str, str] = {}
