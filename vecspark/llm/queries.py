@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm import budget, clusters, forms, link, near, packing, tokens
+from vecspark.llm import budget, clusters, forms, knn, link, near, packing, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -47,6 +47,14 @@ def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return forms.collapsed(_table(spark, d, "store_documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.found_pairs(_table(spark, d, "points"))
+
+
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return knn.neighbours(_table(spark, d, "points")).withColumnRenamed("id", "point_id")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
@@ -55,5 +63,5 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_groups, p3_found, p3_representatives, p5_budget, p6_found, p6_collapsed, p8_ids, p9_packed)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_groups, p3_found, p3_representatives, p5_budget, p6_found, p6_collapsed, p7_found, p7_neighbours, p8_ids, p9_packed)}
 ORACLE: dict[str, str] = {}
