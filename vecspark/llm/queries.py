@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm import budget, clusters, forms, knn, link, near, packing, tokens
+from vecspark.llm import budget, clusters, forms, knn, link, near, packing, pii, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -63,5 +63,13 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_texts(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_groups, p3_found, p3_representatives, p5_budget, p6_found, p6_collapsed, p7_found, p7_neighbours, p8_ids, p9_packed)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(_table(spark, d, "documents"), _table(spark, d, "members"))
+
+
+def p10_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.masked(_table(spark, d, "documents"), _table(spark, d, "members"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_groups, p3_found, p3_representatives, p5_budget, p6_found, p6_collapsed, p7_found, p7_neighbours, p8_ids, p9_packed, p10_found, p10_masked)}
 ORACLE: dict[str, str] = {}
