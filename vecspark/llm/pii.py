@@ -99,7 +99,7 @@ _CALL = re.compile(
 _BEFORE = re.compile(
     r"(?:signed|spoke with|landlord is|due to|constituent,|account holder|record show that|evidence of|and of|stands:|"
     r"witness:|file of|it was|when|, as|letter from|dank gilt|erreichen|schrieb|gemeldet hat das|formular:|rentner(?:in)?|\bwer|"
-    r"remercie|joindre|retraitée?,|lettre de|dossier\s?:|c['’]est|gracias a|teléfono de|escribió|ficha:|\bfue|\bde|nombre de)\s+$",
+    r"remercie|joindre|retraitée?,|lettre de|dossier\s?:|c['’]est|gracias a|teléfono de|escribió|ficha:|\bfue|nombre de)\s+$",
     re.I,
 )
 _AFTER = re.compile(
@@ -112,7 +112,7 @@ _WORD = re.compile(rf"(?<![\w’'\-])({_W})")
 _C = re.compile(r"[cdlCDLqQ][’']$")
 _FAMILY = re.compile(rf"({_PARTICLE}*){_S}({_W})")
 _GIVEN = re.compile(rf",{_S}({_W})(?:{_S}[^\W\d_a-zß-ÿ]\.(?={_S}))*")
-_TITLES = {"mr", "mrs", "ms", "dr", "herr", "frau", "hon", "señor", "señora", "sr", "sra", "mme", "m", "monsieur",
+_TITLES = {"speaker", "president", "chair", "port", "saint", "upper", "lower", "new", "old", "mr", "mrs", "ms", "dr", "herr", "frau", "hon", "señor", "señora", "sr", "sra", "mme", "m", "monsieur",
            "madame", "sir", "lady", "the", "die", "der", "das", "when", "wer", "it", "c'est", "c’est"}
 
 
@@ -135,6 +135,7 @@ class Register:
     def __init__(self, given: list[str], family: list[str], places: list[str]):
         self.given, self.family = set(given), set(family)
         self.ends = {f[-3:] for f in family if len(f) > 4}
+        self.short_ends = {f[-2:] for f in family if len(f) > 4}
         self.places = {w for p in places for w in p.split()} | set(places)
 
 
@@ -145,11 +146,15 @@ def _plain(word: str) -> str:
 def _name_score(r: Register, given: str, family: str, before: str, after: str) -> float:
     if given in _TITLES or family in _TITLES or family in r.places or given in r.places:
         return 0.0
+    cue = bool(_BEFORE.search(before) or _AFTER.match(after))
     score = 0.4 * (given in r.given)
-    score += 0.3 if family in r.family else 0.25 * (family[-3:] in r.ends)
-    if score:
-        score += 0.4 * bool(_BEFORE.search(before) or _AFTER.match(after))
-    return score
+    if family in r.family:
+        score += 0.3
+    elif family[-3:] in r.ends:
+        score += 0.25
+    elif cue and family[-2:] in r.short_ends:
+        score += 0.2
+    return score + 0.4 * cue if score else 0.0
 
 
 def _names(text: str, r: Register) -> Iterator[tuple[int, int, str, str]]:
@@ -171,8 +176,9 @@ def _names(text: str, r: Register) -> Iterator[tuple[int, int, str, str]]:
         g = _GIVEN.match(text, end)
         if g:
             given = _plain(g.group(1))
-            if given in r.given:
-                score = _name_score(r, given, first, text[max(0, at - 30) : at], text[g.end() : g.end() + 25])
+            before = text[max(0, at - 30) : at]
+            if given in r.given or _BEFORE.search(before):
+                score = _name_score(r, given, first, before, text[g.end() : g.end() + 25])
                 if score >= THRESHOLD:
                     yield at, g.end(), given, first
 
