@@ -85,6 +85,8 @@ def batch_top_k(points: DataFrame, queries: DataFrame, *, id_col: str = "point_i
             for b in batches:
                 if not b.num_rows or not len(qv):
                     continue
+                # a point delivered twice must not take up two places
+                b = b.take(pa.array(np.flatnonzero(~b.column(0).to_pandas().duplicated().to_numpy())))
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 for a in range(0, len(qv), 256):
