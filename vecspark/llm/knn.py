@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm.vectors import binary, matrix, spherical_kmeans, unit_vectors
+from vecspark.llm.words import mix
 from vecspark.runtime import write
 
 #: Vectors that the centres are fitted to, at most, and members per list aimed at.
@@ -37,8 +38,8 @@ SAMPLE, LIST = 32_768, 8_192
 #: Lists probed at most; another list is probed if its centre's cosine is at
 #: least the nearest one's less MARGIN.
 PROBES, MARGIN = 4, 0.25
-#: Members and queries of a tile, and queries compared at a time.
-TILE, _BLOCK = 16_384, 512
+#: Members and queries of a tile at most, on average, and queries compared at a time.
+TILE, ASKING, _BLOCK = 16_384, 40_960, 512
 #: Dimensions per block, and the test's tolerance.
 STEP, EPS = 16, 2.1
 
@@ -114,6 +115,15 @@ def scan(queries: np.ndarray, members: np.ndarray, k: int, own: np.ndarray | Non
     return best, score
 
 
+def _probed(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, is home) of every list that rows belong to or probe."""
+    c = x @ centres.T
+    near = np.argsort(-c, axis=1, kind="stable")[:, : min(PROBES, len(centres))]
+    cos = np.take_along_axis(c, near, 1)
+    rows, at = np.nonzero(cos >= cos[:, :1] - MARGIN)
+    return rows, near[rows, at], at == 0
+
+
 class Index:
     """Lists of the distinct vectors (cls, vec) of a table."""
 
@@ -128,59 +138,73 @@ class Index:
         self.turn = rotation(dim)
         self.centres = spherical_kmeans(sample, lists) if len(sample) else np.empty((0, dim), np.float32)
 
-    def placed(self) -> DataFrame:
-        """(cls, list, home, vec): a row per entry and list it belongs to or
-        probes; ``vec`` is rotated."""
+    def sizes(self) -> dict[int, tuple[int, int]]:
+        """Members and queries of each list (at most SAMPLE / 16 lists),
+        counted without moving a vector."""
+        centres, dim, k = self.centres, self.dim, len(self.centres)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, q = np.zeros(k, np.int64), np.zeros(k, np.int64)
+            for b in batches:
+                _, lists, home = _probed(matrix(b.column(0), dim), centres)
+                q += np.bincount(lists, minlength=k)
+                m += np.bincount(lists[home], minlength=k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(k), pa.int32()), pa.array(m), pa.array(q)], ["list", "m", "q"]
+            )
+
+        counts = self.entries.select("vec").mapInArrow(run, "list int, m long, q long")
+        return {
+            r["list"]: (r["m"], r["q"])
+            for r in counts.groupBy("list").agg(F.sum("m").alias("m"), F.sum("q").alias("q")).collect() if r["q"]
+        }
+
+    def tiles(self) -> DataFrame:
+        """(list, mt, qt, cls, home, asks, vec): every entry as a member of its
+        list's tiles and as a query of the tiles it probes; one row where it is
+        both.  ``vec`` is rotated."""
         centres, turn, dim = self.centres, self.turn, self.dim
+        cuts = np.ones((len(self.centres), 2), np.int64)
+        for i, (m, q) in self.sizes().items():
+            cuts[i] = max(1, -(-m // TILE)), max(1, -(-q // ASKING))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = min(PROBES, len(centres))
             for b in batches:
                 x = matrix(b.column(1), dim)
                 if not len(x):
                     continue
-                c = x @ centres.T
-                near = np.argsort(-c, axis=1, kind="stable")[:, :p]
-                cos = np.take_along_axis(c, near, 1)
-                use = cos >= cos[:, :1] - MARGIN
-                qi, pi = np.nonzero(use)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(qi)), pa.array(near[qi, pi], pa.int32()), pa.array(pi == 0),
-                     binary((x @ turn)[qi])],
-                    ["cls", "list", "home", "vec"],
-                )
-
-        return self.entries.select("cls", "vec").mapInArrow(run, "cls long, list int, home boolean, vec binary")
+                rows, lists, home = _probed(x, centres)
+                key = mix(np.asarray(b.column(0)).view(np.uint64))[rows]
+                mts, qts = cuts[lists, 0], cuts[lists, 1]
+                mine = (key % mts.astype(np.uint64)).astype(np.int64)
+                ask = ((key >> np.uint64(32)) % qts.astype(np.uint64)).astype(np.int64)
+                parts = []
+                for mt in range(int(mts.max())):
+                    for qt in range(int(qts.max())):
+                        member = home & (mine == mt) & (qt < qts)
+                        query = (ask == qt) & (mt < mts)
+                        at = np.flatnonzero(member | query)
+                        parts.append((at, np.full(len(at), mt), np.full(len(at), qt), member[at], query[at]))
+                at, mt, qt, member, query = (np.concatenate(c) for c in zip(*parts))
+                turned = x @ turn
+                for i in range(0, len(at), 20_000):
+                    j = at[i : i + 20_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(lists[j], pa.int32()), pa.array(mt[i : i + 20_000], pa.int32()),
+                         pa.array(qt[i : i + 20_000], pa.int32()), b.column(0).take(pa.array(rows[j])),
+                         pa.array(member[i : i + 20_000]), pa.array(query[i : i + 20_000]), binary(turned[rows[j]])],
+                        ["list", "mt", "qt", "cls", "home", "asks", "vec"],
+                    )
+
+        return self.entries.select("cls", "vec").mapInArrow(
+            run, "list int, mt int, qt int, cls long, home boolean, asks boolean, vec binary"
+        )
 
     def neighbours(self, k: int) -> DataFrame:
-        """(cls, other, cosine) as arrays ``others``, best first: one row each."""
+        """(cls, others): arrays of (c: minus cosine, o: cls), best first."""
         if not len(self.centres):
             return self.entries.select("cls", F.expr("cast(array() as array<struct<c:double,o:long>>)").alias("others"))
-        placed = write(self.placed(), "placed").df
-        # at most SAMPLE / 16 lists
-        sizes = {
-            r["list"]: (r["m"], r["q"]) for r in
-            placed.groupBy("list").agg(F.sum(F.col("home").cast("long")).alias("m"), F.count(F.lit(1)).alias("q")).collect()
-        }
-        cuts = [(i, max(1, -(-m // TILE)), max(1, -(-q // TILE))) for i, (m, q) in sizes.items()]
-        if all(mt == 1 and qt == 1 for _, mt, qt in cuts):
-            tiled = placed.select("cls", "list", F.lit(0).alias("mt"), F.lit(0).alias("qt"), "home",
-                                  F.lit(True).alias("asks"), "vec")
-        else:
-            spark = placed.sparkSession
-            cut = F.broadcast(spark.createDataFrame(cuts, "list int, mts int, qts int"))
-            both = placed.join(cut, "list")
-            mine = F.pmod(F.xxhash64("cls"), F.col("mts")).cast("int")
-            ask = F.pmod(F.xxhash64("cls"), F.col("qts")).cast("int")
-            members = both.where("home").select(
-                "cls", "list", mine.alias("mt"), F.explode(F.sequence(F.lit(0), F.col("qts") - 1)).alias("qt"),
-                F.lit(True).alias("home"), F.lit(False).alias("asks"), "vec",
-            )
-            asking = both.select(
-                "cls", "list", F.explode(F.sequence(F.lit(0), F.col("mts") - 1)).alias("mt"), ask.alias("qt"),
-                F.lit(False).alias("home"), F.lit(True).alias("asks"), "vec",
-            )
-            tiled = members.unionByName(asking)
+        tiled = self.tiles()
         dim = self.dim
 
         def tile(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -196,7 +220,6 @@ class Index:
                 if len(mcls) else np.full(len(qcls), -1)
             best, score = scan(queries, members, k, own)
             ok = best >= 0
-            q, _ = np.nonzero(ok)
             return pd.DataFrame({
                 "cls": qcls,
                 "o": [mcls[b[g]].tolist() for b, g in zip(best, ok)],
