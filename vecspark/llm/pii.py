@@ -116,6 +116,20 @@ _TITLES = {"speaker", "president", "chair", "port", "saint", "upper", "lower", "
            "madame", "sir", "lady", "the", "die", "der", "das", "when", "wer", "it", "c'est", "c’est"}
 
 
+#: Cheap tests for what a text must hold before patterns are tried on it.
+_AT = re.compile(r"[\[(]\s{0,2}(?:at|arroba|@)\s{0,2}[\])]", re.I)
+_AT_WORD = re.compile(r"\s(?:at|arroba)\s{1,2}[\w\-]+\s{1,2}(?:dot|punkt|point|punto)\s", re.I)
+_STREET = (
+    ("Row", "Lane", "Street", "Avenue", "Close", "Road", "Drive", "Way", "Court", "Square", "Terrace", "Crescent",
+     "Gardens", "St.", "Ave.", "Rd.", "Dr.", "Ln."),
+    ("straße", "strasse", "gasse", "weg", "platz", "allee", "ring", "ufer", "damm", "str."),
+    ("-Allee", "-Stra", "-Gasse", "-Weg", "-Platz", "-Ring", "-Ufer", "-Damm", "-Str."),
+    ("rue", "avenue", "impasse", "chemin", "boulevard", "allée", "quai", "place", "square", "cours", "route"),
+    ("C/", "alle", "venida", "vda.", "laza", "aseo", "amino", "onda"),
+)
+_NUMBER = re.compile(r"\d(?:[-/.]|\)?(?:\r\n|\s)\(?|\))\d|\d{7}|[A-Z]\d{2}[A-Z]|[A-Z]{2}-\d{2}")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -198,12 +212,15 @@ def spans(text: str | None, r: Register) -> list[tuple[int, int, str, str, str]]
         found = [m for p in patterns for m in p.finditer(text)]
         return sorted(found, key=lambda m: (m.start(), -m.end()))
 
-    if "@" in text or " at " in text or "at]" in text or "at)" in text or re.search(r"\b(?:at|arroba)\b", text, re.I):
-        for m in matches(EMAIL):
+    emails = [p for p, on in zip(EMAIL, ("@" in text, _AT.search(text), _AT_WORD.search(text))) if on]
+    if emails:
+        for m in matches(emails):
             add(m.start(), m.end(), "email")
-    if any(c.isdigit() for c in text):
-        for m in matches(ADDRESS):
+    streets = [p for p, words in zip(ADDRESS, _STREET) if any(w in text for w in words)]
+    if streets:
+        for m in matches(streets):
             add(m.start(), m.end(), "address")
+    if _NUMBER.search(text):
         for m in matches(PHONE):
             before = text[max(0, m.start() - 30) : m.start()]
             score = 0.7
