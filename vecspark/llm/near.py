@@ -4,7 +4,7 @@ A text's fingerprint is a MinHash signature of its distinct word shingles,
 ``BLOCKS * WIDTH`` components long; two texts of similarity s differ in about
 (1 - s) of them.  The fingerprint is split into BLOCKS blocks: two that differ
 in fewer than BLOCKS components must share a whole block (pigeonhole), and at
-a similarity of 0.6 a pair shares none with a probability of 0.0015.  Texts
+a similarity of 0.6 a pair shares none with a probability of 0.0018.  Texts
 are joined on blocks, fingerprints too far apart in Hamming distance are
 dropped, and what remains is verified on the shingle sets themselves.
 

@@ -72,4 +72,34 @@ def p10_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_described, p2_found, p2_groups, p3_found, p3_representatives, p5_budget, p6_found, p6_collapsed, p7_found, p7_neighbours, p8_ids, p9_packed, p10_found, p10_masked)}
-ORACLE: dict[str, str] = {}
+
+# The SQL goes over whole tables too; where that is too slow (or SQL cannot
+# say it: p1, p3, p5, p8, p9, p10), tests compare with brute force instead.
+
+_WORDS = "regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')"
+_LETTERS = "regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_WS = r"\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_FORMS = f"""WITH l AS (SELECT document_id, content, list_filter(regexp_split_to_array(lower(content), '\\r\\n|\\n|\\r'),
+    lambda x: regexp_matches(x, '[^{_WS}]')) lines FROM store_documents WHERE content IS NOT NULL),
+f AS (SELECT document_id, {_LETTERS.format(c='content')} letters,
+  CASE WHEN len(lines) > 0 AND len(list_filter(lines, lambda x: NOT regexp_matches(x, '^[{_WS}]*[\\p{{L}}\\p{{N}}]+[{_WS}]*:.*[\\p{{L}}\\p{{N}}]'))) = 0
+  THEN array_to_string(list_sort(list_transform(lines, lambda x: {_LETTERS.format(c='x')})), chr(10)) END card FROM l)"""
+
+ORACLE: dict[str, str] = {
+    "p6_found": f"""{_FORMS}, g AS (SELECT coalesce('c' || card, 'l' || letters) form, min(document_id) document_id, count(*) n FROM f GROUP BY 1)
+SELECT g.document_id, f.document_id copy_document_id FROM f JOIN g ON coalesce('c' || card, 'l' || letters) = form
+WHERE f.document_id <> g.document_id""",
+    "p2_found": f"""{_FORMS}, w AS (SELECT document_id, {_WORDS} w FROM store_documents WHERE content IS NOT NULL),
+s AS (SELECT DISTINCT document_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g FROM (SELECT document_id, w, unnest(range(1, len(w) - 1)) i FROM w)),
+n AS (SELECT document_id, count(*) n FROM s GROUP BY 1),
+p AS (SELECT a.document_id x, b.document_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.document_id < b.document_id GROUP BY 1, 2)
+SELECT x document_id_a, y document_id_b FROM p JOIN n na ON na.document_id = x JOIN n nb ON nb.document_id = y
+JOIN f fa ON fa.document_id = x JOIN f fb ON fb.document_id = y
+WHERE c * 5 >= 3 * (na.n + nb.n - c)
+  AND NOT CASE WHEN fa.card IS NOT NULL AND fb.card IS NOT NULL THEN fa.card = fb.card ELSE fa.letters = fb.letters END""",
+    "p7_found": """WITH u AS (SELECT DISTINCT point_id, embedding::DOUBLE[] e FROM points WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.point_id x, b.point_id y, list_cosine_similarity(a.e, b.e) c FROM u a JOIN u b ON a.point_id <> b.point_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(c, 6) DESC, y) r FROM s)
+SELECT DISTINCT least(x, y) point_id_a, greatest(x, y) point_id_b FROM t WHERE r <= 5 AND c >= 0.95""",
+}
