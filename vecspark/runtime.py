@@ -3,6 +3,8 @@ size-checked broadcasts and joins that survive a hot key."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -47,12 +49,26 @@ class Written:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+_WRITTEN: list[Written] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete this session's intermediate tables, as far as Spark still runs."""
+    for w in _WRITTEN:
+        with contextlib.suppress(Exception):
+            w.drop()
+
+
 def write(df: DataFrame, name: str) -> Written:
-    """Write ``df`` as Parquet below the shared folder."""
+    """Write ``df`` as Parquet below the shared folder; the files are deleted
+    when the session's Python process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return Written(spark, path, df.schema)
+    written = Written(spark, path, df.schema)
+    _WRITTEN.append(written)
+    return written
 
 
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
