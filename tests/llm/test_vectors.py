@@ -91,3 +91,15 @@ def test_few_points(spark):
     assert knn.neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
     assert knn.neighbours(spark.createDataFrame(rows_of(np.eye(64)[:1]), SCHEMA)).count() == 0
     assert knn.neighbours(spark.createDataFrame(rows_of(np.eye(64)[:3]), SCHEMA)).count() == 6
+
+
+def test_texts_by_hashed_features(spark):
+    rng = np.random.RandomState(2)
+    topics = [[f"t{t}w{i}" for i in range(12)] for t in range(3)]
+    rows = [(f"p{t}{i:03d}", " ".join(rng.choice(topics[t], 30)) + f" the own{t}{i}") for t in range(3) for i in range(40)]
+    df = spark.createDataFrame([*rows, ("n", None), ("e", "")], "point_id string, content string")
+    vec = clusters.hashed_vectors(df, "point_id", "content", 64)
+    assert vec.count() == 121
+    got = clusters.cluster(vec.withColumnRenamed("id", "point_id"), "point_id", [], "embedding", near=0.5, far=0.45).collect()
+    assert len(got) == 120 and {(r["point_id"][:2], r["cluster_id"]) for r in got} == {(f"p{t}", f"p{t}000") for t in range(3)}
+    assert clusters.hashed_vectors(df.limit(0), "point_id", "content").count() == 0

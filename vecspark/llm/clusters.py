@@ -1,5 +1,8 @@
 """Grouping records into similarity clusters: distributed spherical k-means.
 
+Records come with vectors, or get hashed weighted features of their text
+(``hashed_vectors``).
+
 Seeding is parallel and oversampled: in a few passes every row is drawn with a
 probability in proportion to its distance from the seeds so far (by a hash of
 its id, so that a repeated task draws the same).  The weighted seeds, bounded
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecspark.llm import words
 from vecspark.llm.vectors import matrix, unit, unit_vectors
 from vecspark.llm.words import mix
 from vecspark.runtime import write
@@ -29,6 +33,8 @@ from vecspark.runtime import write
 #: Expected number of seeds drawn by each pass, and the number of passes.
 SEEDS, PASSES = 800, 4
 _ROWS = 4096
+#: Hash buckets whose document frequencies weight the words of texts.
+_BUCKETS = 1 << 18
 
 
 def _draw(v: DataFrame, dim: int, seeds: np.ndarray, total: float, turn: int) -> tuple[np.ndarray, float]:
@@ -208,3 +214,53 @@ def described(points: DataFrame, typical: int = 5) -> DataFrame:
         got.withColumn("rank_no", F.row_number().over(w)).where(F.col("rank_no") <= typical)
         .select("cluster_id", "size", "rank_no", "document_id", F.round("cosine", 4).alias("cosine"))
     )
+
+
+def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """(id, embedding): hashed weighted features of texts that have no vectors.
+
+    A word's weight is its damped frequency times the inverse document
+    frequency of its hash bucket, counted over all texts (``_BUCKETS`` counts,
+    a bounded table); the words are added up under signed hashes.  Null texts
+    are left out; texts without words get a zero vector.
+    """
+    base = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    shift = np.uint64(64 - _BUCKETS.bit_length() + 1)
+
+    def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, bucket, hash, frequency) of each text's distinct words."""
+        w = words.read(texts)
+        pairs = np.stack([np.repeat(np.arange(len(texts)), w.counts).astype(np.uint64), w.words], 1)
+        once, n = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.empty(0, int))
+        return once[:, 0].astype(np.int64), (once[:, 1] >> shift).astype(np.int64), once[:, 1], n
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, docs = np.zeros(_BUCKETS, np.int64), 0
+        for b in batches:
+            row, bucket, _, _ = terms(b.column(0).to_pylist())
+            total += np.bincount(np.unique(row * _BUCKETS + bucket) % _BUCKETS, minlength=_BUCKETS)
+            docs += b.num_rows
+        has = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(has, -1)), pa.array(np.append(total[has], docs))], ["bucket", "n"]
+        )
+
+    counted = base.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    seen = {r["bucket"]: r["n"] for r in counted}
+    docs = seen.pop(-1, 0)
+    idf = np.full(_BUCKETS, np.log(docs + 1.0))
+    for k, n in seen.items():
+        idf[k] = np.log((docs + 1.0) / (n + 1.0)) + 1e-3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, bucket, h, n = terms(b.column(1).to_pylist())
+            v = np.zeros((b.num_rows, dim))
+            sign = np.where(mix(h + np.uint64(9)) >> np.uint64(63), 1.0, -1.0)
+            np.add.at(v, (row, (mix(h) % np.uint64(dim)).astype(np.int64)), sign * (1 + np.log(n)) * idf[bucket])
+            flat = pa.array(unit(v).astype(np.float32).reshape(-1))
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], ["id", "embedding"])
+
+    id_type = base.schema["id"].dataType.simpleString()
+    return base.mapInArrow(run, f"id {id_type}, embedding array<float>")
