@@ -64,3 +64,10 @@ def test_representatives_take_the_best_score(spark):
     store = [("s1", base + " tail end"), ("s2", base)]
     got = link.representatives(*frames(spark, store, [(1, 1, "b", base.upper())])).collect()
     assert [(r["document_id"], r["representative_id"], r["best_id"]) for r in got] == [("b", "b", "s2")]
+
+
+def test_null_numbers_come_last_and_repeated_rows_are_one(spark):
+    text = " ".join(f"q{i}" for i in range(20))
+    batch = [(None, None, "z", text), (None, None, "y", text), (2, None, "x", text), (2, 1, "w", text), (2, 1, "w", text)]
+    got = link.found_links(*frames(spark, [], batch)).distinct().collect()
+    assert {tuple(r) for r in got} == {("w", "x"), ("w", "y"), ("w", "z")}

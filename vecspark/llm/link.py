@@ -13,9 +13,9 @@ closeness of length) are weighted by a logistic model, fitted to at most
 ``SAMPLE`` candidate pairs labelled by the exact comparison; the score picks
 the representative among several accepted partners, it never drops a pair.
 
-Defined cases: null and blank contents are neither linked nor accepted; ids
-that repeat are rows of their own; arrivals tie-break by batch_no, seq_no;
-empty tables give an empty result; further columns are ignored.
+Defined cases: null and blank contents are neither linked nor accepted; rows
+that repeat are one arrival; a null batch_no or seq_no comes last, ties go by
+id; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,9 +73,12 @@ def link(history: History, batch: DataFrame, threshold: float = 0.6) -> Linked:
             F.col("document_id").alias("i"), F.col("batch_no").cast("long").alias("b"), F.col("seq_no").cast("long").alias("s")
         ))), "_id", "content", forms=True,
     )
+    last = F.lit((1 << 63) - 1)
     mine = write(
         profiled.withColumn("_k", F.from_json("id", "i string, b long, s long")).select(
-            F.col("_k.i").alias("id"), (F.col("_k.b") * (1 << 32) + F.col("_k.s")).alias("ord"),
+            F.col("_k.i").alias("id"),
+            # the order of arrival; without a number, last; ties by id
+            F.struct(F.coalesce("_k.b", last).alias("b"), F.coalesce("_k.s", last).alias("s"), F.col("_k.i").alias("i")).alias("ord"),
             "cls", "in_order", "as_card", "keys",
         ),
         "arrivals",

@@ -1,7 +1,6 @@
 """Filling fixed-capacity containers: sum-of-squares packing.
 
-Items are spread over shards of bounded size by a hash of their id.  Within a
-shard each item goes where the sum over residual gaps of the squared number of
+Parts of items are spread over shards of bounded size by a hash.  Within a shard each item goes where the sum over residual gaps of the squared number of
 open containers with that gap becomes smallest, which keeps gaps balanced so
 that later items find a fit.  Only items above the capacity are split: their
 full parts are containers of their own, the rest is packed.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from vecspark.llm import tokens
 from vecspark.runtime import write
 
-#: Items a shard has on average; a task holds one shard.
+#: Parts of items a shard has on average; a task holds one shard.
 SHARD_ITEMS = 20_000
 
 
@@ -60,17 +59,19 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048) ->
         items.where(F.col(size_col) > 0).select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("n")),
         "items",
     ).df
-    shards = max(1, -(-base.count() // SHARD_ITEMS))
     id_type = base.schema["id"].dataType.simpleString()
+    n_parts = F.ceil(F.col("n") / capacity).cast("long")
+    total = base.agg(F.coalesce(F.sum(n_parts), F.lit(0))).first()[0]
+    shards = max(1, -(-total // SHARD_ITEMS))
     parts = base.select(
         "id",
         F.posexplode(
             F.transform(
-                F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity).cast("long")),
+                F.sequence(F.lit(0).cast("long"), n_parts - 1),
                 lambda k: F.least(F.lit(capacity).cast("long"), F.col("n") - k * capacity),
             )
         ).alias("part_no", "size"),
-    ).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    ).withColumn("shard", F.pmod(F.xxhash64("id", "part_no"), F.lit(shards)).cast("int"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "part_no"], kind="stable")
@@ -85,19 +86,9 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048) ->
             }
         )
 
-    # full parts of long items share a shard with the rest; each is a container
-    full = parts.where(F.col("size") == capacity)
-    loose = parts.where(F.col("size") < capacity)
-    packed = loose.groupBy("shard").applyInPandas(
+    return parts.groupBy("shard").applyInPandas(
         run, f"id {id_type}, part_no int, container_id long, start long, size long"
     )
-    alone = full.select(
-        "id", "part_no",
-        # negative, from the id: no other container's number
-        (-F.abs(F.xxhash64("id", "part_no") % F.lit(1 << 62)) - 1).alias("container_id"),
-        (F.col("part_no").cast("long") * capacity).alias("start"), "size",
-    )
-    return packed.unionByName(alone)
 
 
 def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048,
