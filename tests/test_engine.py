@@ -101,7 +101,8 @@ def test_documents(db):
     assert docs.retrieve(one.document_id).metadata == {"author": "x"}
     with pytest.raises(NotFoundError):
         docs.retrieve("doc-none")
-    assert docs.bulk_create([]) == []
+    assert docs.bulk_create([]) == [] and docs.retrieve_many([]) == []
+    assert [d.content for d in docs.retrieve_many([one.document_id, "none", one.document_id])] == ["hello"]
     docs.bulk_create([Document(content=f"t{i}", source_id="s") for i in range(4)])
     with pytest.raises(ValueError):
         docs.create(one)  # the key exists
@@ -241,3 +242,12 @@ def test_unsafe_archive(tmp_path):
         z.writestr("../evil.txt", "x")
     with pytest.raises(ValueError):
         files.unpack(str(tmp_path / "x.zip"), str(tmp_path / "out"))
+
+
+def test_bloom_filters_change_no_result(spark, tmp_path):
+    d = Database(Store(spark, str(tmp_path / "b"), bloom_filters=True))
+    d.touch()
+    made = d.documents.bulk_create([Document(content=f"text {i}") for i in range(50)])
+    assert d.documents.retrieve(made[7].document_id).content == "text 7" and d.documents.content_exists(made[3].content_md5)
+    d.store.compact("documents")
+    assert d.documents.count() == 50

@@ -146,3 +146,25 @@ def test_join_groups_splits_hot_keys(spark):
     rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).cast("long").alias("k"))
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     assert runtime.join_groups(rows, groups, "k", "n", 40_000).count() == 40_000
+
+
+def test_approximate_search(spark):
+    from vecspark.operators.ann import CosineIndex
+
+    rng = np.random.RandomState(4)
+    x = rng.normal(size=(300, 8))
+    rows = [(f"p{i:03d}", "d", [float(v) for v in r], "x") for i, r in enumerate(x)]
+    p = points(spark, rows + [("z", "d", [0.0] * 8, "x"), ("n", "d", None, "x"), ("s", "d", [1.0], "x")])
+    index = CosineIndex(p, 8)
+    hits = 0
+    for q in range(5):
+        v = [float(t) for t in x[q] + rng.normal(size=8) * 0.05]
+        got = index.search(v, 5).collect()
+        want = {r["point_id"] for r in search.top_k(points(spark, rows), v, 5).collect()}
+        assert got[0]["point_id"] == f"p{q:03d}" and len(got) == 5 and got[0]["relevance_score"] > 0.98
+        hits += len(want & {r["point_id"] for r in got})
+    assert hits >= 20
+    assert index.search([1.0] * 8, 0).count() == 0
+    for bad in ([1.0], [0.0] * 8):
+        with pytest.raises(ValueError):
+            index.search(bad, 1)

@@ -32,8 +32,13 @@ class Conflict(RuntimeError):
 class Store:
     """The tables below a folder (any path Hadoop can write to)."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    #: Columns of lookups, for Parquet's bloom filters.
+    LOOKUPS = {"documents": ("document_id", "content_md5"), "points": ("point_id", "document_id")}
+
+    def __init__(self, spark: SparkSession, root: str, *, bloom_filters: bool = False):
+        """``bloom_filters``: write them for the columns of lookups, which
+        spares large tables most row groups of a lookup by id or hash."""
+        self.spark, self.root, self.bloom_filters = spark, root.rstrip("/"), bloom_filters
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -140,7 +145,7 @@ class Store:
                     )
                 )
             # sorted by key, so that statistics of row groups help lookups
-            shaped.sortWithinPartitions(key).write.parquet(f"{self.root}/{path}")
+            self._write(table, shaped.sortWithinPartitions(key), path)
             new = self.spark.read.schema(schema).parquet(f"{self.root}/{path}")
             counts[table] = new.count()
             if unique and counts[table]:
@@ -150,6 +155,14 @@ class Store:
         self._publish(number, tables)
         return counts
 
+    def _write(self, table: str, rows: DataFrame, path: str) -> None:
+        writer = rows.write
+        if self.bloom_filters:
+            writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+            for c in self.LOOKUPS.get(table, ()):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(f"{self.root}/{path}")
+
     def _check_unique(self, table: str, key: str, new: DataFrame, removed: DataFrame | None) -> None:
         if new.groupBy(key).count().where("count > 1").limit(1).count():
             raise ValueError(f"{table}: {key} repeats within the rows")
@@ -166,7 +179,7 @@ class Store:
         rows = self.read(table)
         path = f"{table}/part-{number + 1:010d}-{uuid.uuid4().hex}"
         key = KEYS[table]
-        rows.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{self.root}/{path}")
+        self._write(table, rows.repartitionByRange(key).sortWithinPartitions(key), path)
         n = self.spark.read.schema(self.schema(table)).parquet(f"{self.root}/{path}").count()
         entry["parts"] = [{"path": path, "version": number + 1, "rows": n}] if n else []
         entry["removals"] = []

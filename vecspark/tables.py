@@ -58,6 +58,12 @@ class Documents(_Table):
             raise NotFoundError(f"no document {document_id!r}")
         return Document.of(rows[0])
 
+    def retrieve_many(self, document_ids: Sequence[str]) -> list[Document]:
+        """The documents of these ids that exist, in the order of their ids."""
+        ids = list(dict.fromkeys(document_ids))
+        rows = self.frame().where(F.col("document_id").isin(ids)).orderBy("document_id").collect() if ids else []
+        return [Document.of(r) for r in rows]
+
     def create(self, document: Document | Mapping[str, Any]) -> Document:
         return self.bulk_create([document])[0]
 
