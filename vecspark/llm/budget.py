@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vecspark.llm.tokens import Bpe, bpe, default_vocabulary
 from vecspark.runtime import BROADCAST_ROWS, HOT_SHARE, python_space, write
 
-_WS = r"\u0009-\u000d \u0085   -     　"
+_WS = r"\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The tokenizer's pattern with white space spelt out for Java.
 PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WS + r"\p{L}\p{N}]+|["

@@ -31,7 +31,7 @@ KINDS = ("email", "address", "phone", "idno", "name")
 REGISTER = 100_000
 
 _S = r"(?:\r\n|\s)"  # a single white space, which may be a line break
-_W = r"[^\W\d_a-zß-öø-ÿ][\w­]*(?:[-’'][^\W\d_a-zß-öø-ÿ][\w­]*)*"  # a capitalised word
+_W = r"[^\W\d_a-zß-öø-ÿ][\w\xad]*(?:[-’'][^\W\d_a-zß-öø-ÿ][\w\xad]*)*"  # a capitalised word
 
 _DOT = rf"(?:\.|{_S}?[\[(]{_S}?(?:dot|punkt|point|punto){_S}?[\])]{_S}?|{_S}(?:dot|punkt|point|punto){_S})"
 _LOCAL = r"(?<![\w.+\-])[\w][\w.+\-]*"
@@ -79,7 +79,7 @@ ADDRESS = [
     for p in (
         rf"{_B}\d{{1,4}}[A-Za-z]?{_S}(?:{_W}{_S}){{1,3}}(?:(?:Row|Lane|Street|Avenue|Close|Road|Drive|Way|Court|Square|Terrace|Crescent|Gardens)\b|(?:St|Ave|Rd|Dr|Ln)\.)",
         rf"(?<![\w\-]){_W}(?:(?:straße|strasse|gasse|weg|platz|allee|ring|ufer|damm)|str\.){_S}\d{{1,4}}[a-z]?\b",
-        rf"(?<![\w\-])[\w­]+-(?:Allee|Straße|Strasse|Gasse|Weg|Platz|Ring|Ufer|Damm|Str\.){_S}\d{{1,4}}[a-z]?\b",
+        rf"(?<![\w\-])[\w\xad]+-(?:Allee|Straße|Strasse|Gasse|Weg|Platz|Ring|Ufer|Damm|Str\.){_S}\d{{1,4}}[a-z]?\b",
         rf"{_B}\d{{1,4}}(?:{_S}(?:bis|ter|quater))?,?{_S}(?:rue|avenue|impasse|chemin|boulevard|allée|quai|place|square|cours|route){_S}(?:de{_S}la{_S}|de{_S}l['’]|de{_S}|du{_S}|des{_S}|d['’])?{_W}",
         rf"(?<![\w/])(?:C/|[Cc]alle|[Aa]venida|[Aa]vda\.|[Pp]laza|[Pp]aseo|[Cc]amino|[Rr]onda){_S}(?:de{_S}la{_S}|de{_S}|del{_S})?{_W},?{_S}(?:n\.?º{_S}?|núm\.{_S}?)?\d{{1,4}}[A-Za-z]?\b",
     )
@@ -154,7 +154,7 @@ class Register:
 
 
 def _plain(word: str) -> str:
-    return word.replace("­", "").lower()
+    return word.replace("\xad", "").lower()
 
 
 def _name_score(r: Register, given: str, family: str, before: str, after: str) -> float:
