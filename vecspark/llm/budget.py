@@ -108,13 +108,15 @@ def document_tokens(df: DataFrame, keep: list[str], text_col: str, vocabulary: s
     )
     seen = write(cut.groupBy("piece").agg(F.count(F.lit(1)).alias("uses")), "pieces").df
     counts = write(piece_tokens(seen.select("piece"), path).join(seen, "piece"), "piece-tokens").df
-    n, uses = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("uses"), F.lit(0))).first()
-    if n <= BROADCAST_ROWS:
+    n, uses, letters = counts.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("uses"), F.lit(0)), F.coalesce(F.sum(F.length("piece")), F.lit(0))
+    ).first()
+    if n <= BROADCAST_ROWS and letters <= 16 * BROADCAST_ROWS:
         met = cut.join(F.broadcast(counts.select("piece", "n")), "piece")
         return met.groupBy(*keep).agg(F.sum("n").cast("long").alias("tokens"))
     # Too many distinct pieces to broadcast.  The few that make up most of a
     # text are still bounded in number; all others meet in a shuffle join.
-    hot = counts.where(F.col("uses") > uses // (20 * HOT_SHARE)).select("piece", "n")
+    hot = counts.where((F.col("uses") > uses // (20 * HOT_SHARE)) & (F.length("piece") <= 64)).select("piece", "n")
     often = cut.join(F.broadcast(hot), "piece").groupBy(*keep).agg(F.sum("n").alias("n"))
     seldom = (
         cut.join(F.broadcast(hot), "piece", "left_anti").join(counts.select("piece", "n"), "piece")

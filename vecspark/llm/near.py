@@ -34,6 +34,8 @@ from vecspark.runtime import maybe_broadcast, write
 BLOCKS, WIDTH, SHINGLE = 26, 3, 3
 #: Classes remembered by a task so that copies do not repeat their blocks.
 _SEEN = 200_000
+#: Values in all shingle sets and signatures together that may be broadcast.
+SET_VALUES = 12_000_000
 _FIRST_FIELD = re.compile(r"[\W_]*[^\W_]+\s*:")
 _FIELD = re.compile(r"\s*[^\W_]+\s*:.*[^\W_]")
 
@@ -194,15 +196,24 @@ def verified(pairs: DataFrame, sources: list[tuple[DataFrame, DataFrame, str, st
         sets = own if sets is None else sets.unionByName(own)
     if len(sources) > 1:
         sets = sets.dropDuplicates(["cls"])
-    sets = write(sets, "near-sets").df
-    a = sets.select(*(F.col(c).alias(c if c == "cls" else f"a_{c}") for c in sets.columns)).withColumnRenamed("cls", "cls_a")
-    b = sets.select(*(F.col(c).alias(c if c == "cls" else f"b_{c}") for c in sets.columns)).withColumnRenamed("cls", "cls_b")
-    met = pairs.join(maybe_broadcast(a, n, 60_000), "cls_a").join(maybe_broadcast(b, n, 60_000), "cls_b")
+    sets = write(sets.withColumn("size", F.size("shingles")), "near-sets").df
+    # what a broadcast of all sets would hold: their number does not bound it
+    held = sets.agg(F.coalesce(F.sum(F.size("shingles") + BLOCKS * WIDTH), F.lit(0))).first()[0]
+
+    def sides(rows: DataFrame, *cols: str) -> DataFrame:
+        for x in ("a", "b"):
+            own = sets.select(F.col("cls").alias(f"cls_{x}"), *(F.col(c).alias(f"{x}_{c}") for c in cols))
+            rows = rows.join(maybe_broadcast(own, held, SET_VALUES), f"cls_{x}")
+        return rows
+
+    # fingerprints and forms first; only what they leave meets the sets
     distance = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x != y), lambda x: x))
-    form = same_form("a_", "b_")
-    near = F.coalesce((F.size("a_shingles") > 0) & (distance <= far_apart(threshold)), F.lit(False))
-    met = met.select("cls_a", "cls_b", "a_shingles", "b_shingles", form.alias("same_form"), near.alias("near"))
-    met = met.where("near or same_form" if form_too else "near and not same_form")
+    some = (F.col("a_size") > 0) & (F.col("b_size") > 0)
+    met = sides(pairs, "sig", "size", "in_order", "as_card").select(
+        "cls_a", "cls_b", same_form("a_", "b_").alias("same_form"),
+        F.coalesce(some & (distance <= far_apart(threshold)), F.lit(False)).alias("near"),
+    )
+    met = sides(met.where("near or same_form" if form_too else "near and not same_form"), "shingles")
     both = F.size(F.array_intersect("a_shingles", "b_shingles"))
     either = F.size("a_shingles") + F.size("b_shingles") - F.col("both")
     met = met.withColumn("both", both).withColumn(
