@@ -16,11 +16,10 @@ from vecspark.functions import text
 DATASETS = {"bbc": "http://mlg.ucd.ie/files/datasets/bbc-fulltext.zip"}
 
 
-def text_documents(spark: SparkSession, path: str, encoding_errors_to_null: bool = False) -> DataFrame:
+def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """(name, content, metadata, created_at, updated_at): one row per file
     below ``path``; the file's name, its stripped text, and its size in
     characters.  Files are read whole and in parallel."""
-    del encoding_errors_to_null
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         F.col("value"), F.col("_metadata.file_name").alias("name"),
         F.unix_timestamp(F.col("_metadata.file_modification_time")).alias("at"), F.col("_metadata.file_path").alias("file"),
