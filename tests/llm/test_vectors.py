@@ -87,6 +87,22 @@ def test_neighbours_and_copies(spark, monkeypatch, tile):
     assert pairs == near
 
 
+def test_many_more_lists_than_a_query_may_skip(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LIST", 16)  # 75 lists in two clusters
+    rng = np.random.RandomState(4)
+    c = rng.normal(size=(2, 64)) / 8
+    x = np.concatenate([c[i] + rng.normal(size=(550, 64)) * 0.1 for i in range(2)])
+    x = np.concatenate([x, x[:100] + rng.normal(size=(100, 64)) * 0.03])
+    got = {}
+    df = spark.createDataFrame(rows_of(x), SCHEMA)
+    for r in knn.neighbours(df).collect():
+        got.setdefault(int(r["id"][1:]), set()).add(int(r["other_id"][1:]))
+    want, s = brute(x.astype(np.float32).astype(float))
+    assert np.mean([len(got[i] & set(want[i])) / 5 for i in range(len(x))]) > 0.95
+    close = {tuple(sorted((f"p{i:05d}", f"p{j:05d}"))) for i in range(len(x)) for j in want[i] if s[i, j] >= 0.95}
+    assert len(close) > 50 and {tuple(r) for r in knn.found_pairs(df).collect()} == close
+
+
 def test_few_points(spark):
     assert knn.neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
     assert knn.neighbours(spark.createDataFrame(rows_of(np.eye(64)[:1]), SCHEMA)).count() == 0

@@ -2,12 +2,17 @@
 adaptive dimension scan.
 
 Index: centres are fitted on a bounded sample (``SAMPLE`` vectors by hash); every
-vector goes into the list of its nearest centre and probes that list and those
-whose centres are nearly as close.  Vectors are rotated at random, so that any
+vector goes into the list of its nearest centre and probes all lists whose border
+with its own is within ``REACH``, however many these are: no vector with a cosine
+of at least ``SURE`` lies in another list.  Where these lists hold few members, it
+probes the next ones, too, until they hold enough.  Neighbouring lists form groups; a
+vector is sent once to a group, not once to each list of it that it probes.
+
+Vectors are rotated at random, so that any
 block of dimensions estimates the whole distance; within a list, blocks of
 queries are compared with all members dimension block by block, and after each
 block a hypothesis test abandons the candidates whose partial distance is too
-large to be among the k best with any reasonable probability.  Long lists are
+large to be among the k best with any reasonable probability.  Long groups are
 cut into tiles, so a task holds a bounded number of members and queries.
 
 Equal vectors are one entry of the index; a group of copies, however large, is
@@ -21,7 +26,7 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,10 +39,13 @@ from vecspark.llm.words import mix
 from vecspark.runtime import write
 
 #: Vectors that the centres are fitted to, at most, and members per list aimed at.
-SAMPLE, LIST = 32_768, 8_192
-#: Lists probed at most; another list is probed if its centre's cosine is at
-#: least the nearest one's less MARGIN.
-PROBES, MARGIN = 4, 0.25
+SAMPLE, LIST = 32_768, 1_024
+#: Lists per group, on average.
+GROUP = 8
+#: Cosine from which no neighbour is missed for the lists' sake: one in another
+#: list is at most acos(SURE) away, so the border between both lists is, too.
+SURE = 0.95
+REACH = (1 - SURE * SURE) ** 0.5
 #: Members and queries of a tile at most, on average, and queries compared at a time.
 TILE, ASKING, _BLOCK = 16_384, 40_960, 512
 #: Dimensions per block, and the test's tolerance.
@@ -115,13 +123,54 @@ def scan(queries: np.ndarray, members: np.ndarray, k: int, own: np.ndarray | Non
     return best, score
 
 
-def _probed(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, list, is home) of every list that rows belong to or probe."""
-    c = x @ centres.T
-    near = np.argsort(-c, axis=1, kind="stable")[:, : min(PROBES, len(centres))]
-    cos = np.take_along_axis(c, near, 1)
-    rows, at = np.nonzero(cos >= cos[:, :1] - MARGIN)
-    return rows, near[rows, at], at == 0
+class Lists:
+    """Centres of lists (rows of a matrix), and groups of neighbouring lists."""
+
+    def __init__(self, centres: np.ndarray, group: np.ndarray | None = None):
+        self.centres = centres
+        #: Members of each list, and how many the probed ones hold together at least.
+        self.held, self.need = np.zeros(len(centres), np.int64), 0
+        self.apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0)).astype(np.float32)
+        if group is None:
+            middles = spherical_kmeans(centres, max(1, -(-len(centres) // GROUP)))
+            group = np.unique((centres @ middles.T).argmax(1), return_inverse=True)[1]
+        self.group = group
+        self.order = np.argsort(group, kind="stable")
+        self.starts = np.searchsorted(group[self.order], np.arange(self.groups))
+
+    @property
+    def groups(self) -> int:
+        return int(self.group.max()) + 1
+
+    def turned(self, turn: np.ndarray) -> Lists:
+        out = Lists(self.centres @ turn, self.group)
+        out.held, out.need = self.held, self.need
+        return out
+
+    def probed(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(list that each row belongs to, whether it probes each of ``lists``)."""
+        home = np.empty(len(x), np.int64)
+        probes = np.empty((len(x), len(lists)), bool)
+        for i in range(0, len(x), 4096):
+            c = x[i : i + 4096] @ self.centres.T
+            own = c.argmax(1)
+            home[i : i + 4096] = own
+            # the border of two lists is (own cosine - other) / |own centre - other| away
+            every = c.max(1)[:, None] - c <= REACH * self.apart[own] + 1e-5
+            few = np.flatnonzero(every.astype(np.float32) @ self.held.astype(np.float32) < self.need)
+            if len(few):
+                order = np.argsort(-c[few], axis=1, kind="stable")
+                before = np.cumsum(self.held[order], 1) - self.held[order]
+                at, j = np.nonzero(before < self.need)
+                every[few[at], order[at, j]] = True
+            probes[i : i + 4096] = every[:, lists]
+        return home, probes
+
+    def grouped(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, group, is home) of every group that rows belong to or probe."""
+        home, probes = self.probed(x, self.order)
+        rows, groups = np.nonzero(np.logical_or.reduceat(probes, self.starts, axis=1))
+        return rows, groups, self.group[home[rows]] == groups
 
 
 class Index:
@@ -136,46 +185,49 @@ class Index:
             np.float32,
         ).reshape(-1, dim)
         self.turn = rotation(dim)
-        self.centres = spherical_kmeans(sample, lists) if len(sample) else np.empty((0, dim), np.float32)
+        self.lists = Lists(spherical_kmeans(sample, lists)) if len(sample) else None
 
-    def sizes(self) -> dict[int, tuple[int, int]]:
-        """Members and queries of each list (at most SAMPLE / 16 lists),
-        counted without moving a vector."""
-        centres, dim, k = self.centres, self.dim, len(self.centres)
+    def _counts(self, k: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """How often ``of`` names each number below ``k`` (at most SAMPLE / 8)
+        for the vectors, counted without moving one."""
+        dim = self.dim
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, q = np.zeros(k, np.int64), np.zeros(k, np.int64)
+            n = np.zeros(k, np.int64)
             for b in batches:
-                _, lists, home = _probed(matrix(b.column(0), dim), centres)
-                q += np.bincount(lists, minlength=k)
-                m += np.bincount(lists[home], minlength=k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(k), pa.int32()), pa.array(m), pa.array(q)], ["list", "m", "q"]
-            )
-
-        counts = self.entries.select("vec").mapInArrow(run, "list int, m long, q long")
-        return {
-            r["list"]: (r["m"], r["q"])
-            for r in counts.groupBy("list").agg(F.sum("m").alias("m"), F.sum("q").alias("q")).collect() if r["q"]
-        }
-
-    def tiles(self) -> DataFrame:
-        """(list, mt, qt, cls, home, asks, vec): every entry as a member of its
-        list's tiles and as a query of the tiles it probes; one row where it is
+                n += np.bincount(of(matrix(b.column(0), dim)), minlength=k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k), pa.int32()), pa.array(n)], ["i", "n"])
+
+        out = np.zeros(k, np.int64)
+        for r in self.entries.select("vec").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+            out[r["i"]] = r["n"]
+        return out
+
+    def sizes(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members and queries of each group for ``k`` neighbours."""
+        index = self.lists
+        none = np.empty(0, np.int64)
+        index.held = self._counts(len(index.centres), lambda x: index.probed(x, none)[0])
+        index.need = max(LIST, k + 1)
+        members = np.bincount(index.group, index.held, minlength=index.groups).astype(np.int64)
+        return members, self._counts(index.groups, lambda x: index.grouped(x)[1])
+
+    def tiles(self, k: int) -> DataFrame:
+        """(grp, mt, qt, cls, home, asks, vec): every entry as a member of its
+        group's tiles and as a query of the tiles it probes; one row where it is
         both.  ``vec`` is rotated."""
-        centres, turn, dim = self.centres, self.turn, self.dim
-        cuts = np.ones((len(self.centres), 2), np.int64)
-        for i, (m, q) in self.sizes().items():
-            cuts[i] = max(1, -(-m // TILE)), max(1, -(-q // ASKING))
+        index, turn, dim = self.lists, self.turn, self.dim
+        m, q = self.sizes(k)
+        cuts = np.stack([np.maximum(1, -(-m // TILE)), np.maximum(1, -(-q // ASKING))], 1)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = matrix(b.column(1), dim)
                 if not len(x):
                     continue
-                rows, lists, home = _probed(x, centres)
+                rows, groups, home = index.grouped(x)
                 key = mix(np.asarray(b.column(0)).view(np.uint64))[rows]
-                mts, qts = cuts[lists, 0], cuts[lists, 1]
+                mts, qts = cuts[groups, 0], cuts[groups, 1]
                 mine = (key % mts.astype(np.uint64)).astype(np.int64)
                 ask = ((key >> np.uint64(32)) % qts.astype(np.uint64)).astype(np.int64)
                 parts = []
@@ -190,44 +242,59 @@ class Index:
                 for i in range(0, len(at), 20_000):
                     j = at[i : i + 20_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(lists[j], pa.int32()), pa.array(mt[i : i + 20_000], pa.int32()),
+                        [pa.array(groups[j], pa.int32()), pa.array(mt[i : i + 20_000], pa.int32()),
                          pa.array(qt[i : i + 20_000], pa.int32()), b.column(0).take(pa.array(rows[j])),
                          pa.array(member[i : i + 20_000]), pa.array(query[i : i + 20_000]), binary(turned[rows[j]])],
-                        ["list", "mt", "qt", "cls", "home", "asks", "vec"],
+                        ["grp", "mt", "qt", "cls", "home", "asks", "vec"],
                     )
 
         return self.entries.select("cls", "vec").mapInArrow(
-            run, "list int, mt int, qt int, cls long, home boolean, asks boolean, vec binary"
+            run, "grp int, mt int, qt int, cls long, home boolean, asks boolean, vec binary"
         )
 
     def neighbours(self, k: int) -> DataFrame:
         """(cls, others): arrays of (c: minus cosine, o: cls), best first."""
-        if not len(self.centres):
+        if self.lists is None:
             return self.entries.select("cls", F.expr("cast(array() as array<struct<c:double,o:long>>)").alias("others"))
-        tiled = self.tiles()
-        dim = self.dim
+        tiled = self.tiles(k)
+        dim, index = self.dim, self.lists.turned(self.turn)
 
         def tile(pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, dim)
             cls = pdf["cls"].to_numpy()
             home, asks = pdf["home"].to_numpy(), pdf["asks"].to_numpy()
-            mcls, qcls = cls[home], cls[asks]
-            order = np.argsort(mcls, kind="stable")
-            mcls, members = mcls[order], np.ascontiguousarray(x[home][order])
-            queries = x[asks]
-            own = np.searchsorted(mcls, qcls)
-            own = np.where((own < len(mcls)) & (mcls[np.minimum(own, max(len(mcls) - 1, 0))] == qcls), own, -1) \
-                if len(mcls) else np.full(len(qcls), -1)
-            best, score = scan(queries, members, k, own)
-            ok = best >= 0
+            lists = np.flatnonzero(index.group == pdf["grp"].iloc[0])
+            at, probes = index.probed(x, lists)
+            qcls = cls[asks]
+            asked, others, scores = [], [], []
+            for i, one in enumerate(lists):
+                member, query = home & (at == one), np.flatnonzero(probes[asks, i])
+                order = np.argsort(cls[member], kind="stable")
+                mcls, members = cls[member][order], np.ascontiguousarray(x[member][order])
+                if not len(mcls) or not len(query):
+                    continue
+                own = np.searchsorted(mcls, qcls[query])
+                own = np.where(mcls[np.minimum(own, len(mcls) - 1)] == qcls[query], own, -1)
+                best, score = scan(x[asks][query], members, k, own)
+                q, j = np.nonzero(best >= 0)
+                asked.append(query[q])
+                others.append(mcls[best[q, j]])
+                scores.append(score[q, j])
+            if not sum(map(len, asked)):
+                return pd.DataFrame({"cls": cls[:1], "o": [[]], "c": [[]]})
+            q, o, c = np.concatenate(asked), np.concatenate(others), np.concatenate(scores).astype(np.float64)
+            order = np.lexsort((o, -c, q))
+            q, o, c = q[order], o[order], c[order]
+            starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))[: len(q)]
+            ends = np.minimum(np.append(starts[1:], len(q)), starts + k)
             return pd.DataFrame({
-                "cls": qcls,
-                "o": [mcls[b[g]].tolist() for b, g in zip(best, ok)],
-                "c": [s[g].astype(np.float64).tolist() for s, g in zip(score, ok)],
+                "cls": qcls[q[starts]],
+                "o": [o[i:j].tolist() for i, j in zip(starts, ends)],
+                "c": [c[i:j].tolist() for i, j in zip(starts, ends)],
             })
 
-        met = tiled.groupBy("list", "mt", "qt").applyInPandas(tile, "cls long, o array<long>, c array<double>")
-        # a query has a bounded number of rows here: probes times tiles
+        met = tiled.groupBy("grp", "mt", "qt").applyInPandas(tile, "cls long, o array<long>, c array<double>")
+        # a query has k entries at most per tile of the groups it probes
         return met.groupBy("cls").agg(
             F.slice(
                 F.array_sort(F.flatten(F.collect_list(F.zip_with(
