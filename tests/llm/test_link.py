@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from test_near import corpus, same, shingle_set
 
 from vecspark.llm import link
+from vecspark.sources.store import Conflict
 
 STORE = "document_id string, name string, content string, content_md5 string, source_id string, cls int"
 BATCH = "batch_no int, seq_no int, " + STORE
@@ -71,3 +73,44 @@ def test_null_numbers_come_last_and_repeated_rows_are_one(spark):
     batch = [(None, None, "z", text), (None, None, "y", text), (2, None, "x", text), (2, 1, "w", text), (2, 1, "w", text)]
     got = link.found_links(*frames(spark, [], batch)).distinct().collect()
     assert {tuple(r) for r in got} == {("w", "x"), ("w", "y"), ("w", "z")}
+
+
+def test_history_is_taken_up_by_later_batches(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [t for _, t in corpus(21, 30)]
+    rng.shuffle(rows)
+    n = len(rows) // 4
+    store = [(f"s{i:03d}", t) for i, t in enumerate(rows[:n])]
+    batch = [(1 + i * 3 // len(rows[n:]), i, f"b{i:03d}", t) for i, t in enumerate(rows[n:])]
+    base = [f"k{i}" for i in range(30)]
+    copied = " ".join(f"w{i}" for i in range(20))
+    batch += [(1, 900, "x1", " ".join(base[:16])), (1, 901, "x3", " ".join(base[8:24])), (2, 900, "x2", " ".join(base[4:20]))]
+    # the accepted copy comes after another one in the file
+    batch += [(1, 911, "z1", copied), (1, 910, "z0", copied), (3, 910, "z2", copied.upper())]
+    at = str(tmp_path / "history")
+    b, s = frames(spark, store, batch)
+    link.History.build(s, at)
+    profile, profiled = link.near.profile, []
+    monkeypatch.setattr(link.near, "profile", lambda df, *a, **k: profiled.append(df.count()) or profile(df, *a, **k))
+    got, written = [], []
+    for k in (1, 2, 3):
+        history = link.History.open(s, at)
+        part = b.where(f"batch_no = {k}")
+        got += [tuple(r) for r in link.found_links(part, s, history=history).collect()]
+        written.append({r["node"] for r in history._read("representatives").where(f"version = {k + 1}").collect()})
+    assert set(got) == brute(store, batch) and len(got) == len(set(got))
+    assert sum(profiled) == len(batch)
+    name = {x: x for p in got for x in p}
+    for _ in name:
+        for p in got:
+            name[p[0]] = name[p[1]] = min(name[p[0]], name[p[1]])
+    assert {r["node"]: r["component"] for r in link.History.open(s, at).representatives().collect()} == name
+    # only touched clusters are written again
+    new = {x for p in got for x in p if any(y[0] == "b" or y[0] in "xz" for y in p)}
+    assert written[2] and written[2] < new and not {"x1", "x2"} & written[2]
+    with pytest.raises(ValueError):
+        link.History.build(s, at)
+    linked = link.link(history, b.where("batch_no = 3"))
+    history.append(linked, b.where("batch_no = 3"))
+    with pytest.raises(Conflict):
+        history.append(linked, b.where("batch_no = 3"))

@@ -1,12 +1,16 @@
 """Deduplicating new batches against all history: incremental record linkage.
 
-History is kept as a persisted table of profiles: per record its class of
-copies, its form and the blocking keys of its fingerprint (see ``near``).  A
-batch brings its own keys and probes that table; only the texts of classes that
-meet are read again and compared.  Which arrivals are accepted is settled in
+History is kept in a folder that outlives the session, as versioned tables (see
+``sources.store``): profiles, which hold per record its class of copies, its form
+and the blocking keys of its fingerprint (see ``near``); the texts of accepted
+arrivals; representatives.  ``History.build`` profiles a store once,
+``History.open`` takes the folder up again.  A batch brings its own keys and
+probes the profiles; only the texts of classes that meet are read again and
+compared; ``History.append`` adds what was accepted, so that the next batch meets
+it.  Which arrivals are accepted is settled in
 rounds: an arrival without an undecided or accepted earlier partner is
-accepted, its later partners are not.  Links update a table of representatives
-by union-find: only clusters that a link touches get a new representative.
+accepted, its later partners are not.  Links update the table of representatives
+by union-find: only clusters that a link touches are written again.
 
 Scores: features of each link (similarity of texts, equal hash, name, source,
 closeness of length) are weighted by a logistic model, fitted to at most
@@ -20,13 +24,18 @@ id; empty tables give an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Mapping
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecspark import runtime
 from vecspark.llm import near
 from vecspark.llm.components import components
 from vecspark.runtime import Written, maybe_broadcast, strip, write
+from vecspark.sources.store import Store
 
 #: Labelled candidate pairs that the weights are fitted to, at most.
 SAMPLE = 20_000
@@ -37,27 +46,114 @@ def _usable(df: DataFrame, text_col: str) -> DataFrame:
     return df.where(F.col(text_col).isNotNull() & (strip(F.col(text_col)) != ""))
 
 
+_TABLES = {
+    "profiles": "id string, cls long, in_order long, as_card long, keys array<long>",
+    "records": "document_id string, name string, content string, content_md5 string, source_id string",
+    "representatives": "node string, component string, version long",
+}
+
+
 class History:
-    """Persisted blocking keys of accepted records."""
+    """Accepted records, below a folder: their profiles, the texts of accepted
+    arrivals and the representatives of all that was linked.
 
-    def __init__(self, table: DataFrame, profiles: Written):
-        self.table, self.profiles = table, profiles
+    ``store`` is the table the history was built of; its texts stay there, and
+    rows that it gets later count only if they come as arrivals.
+    """
+
+    def __init__(self, store: DataFrame, path: str):
+        self.spark = store.sparkSession
+        self._store, self._state = store, Store(self.spark, path)
 
     @classmethod
-    def build(cls, store: DataFrame) -> History:
-        table = _usable(store, "content")
-        return cls(table, write(near.profile(table, "document_id", "content", forms=True), "history"))
+    def build(cls, store: DataFrame, path: str | None = None) -> History:
+        """Profile a store; without ``path`` for this session only."""
+        if path is None:
+            path = f"{runtime.shared_dir(store.sparkSession)}/history-{uuid.uuid4().hex}"
+            runtime._WRITTEN.append(Written(store.sparkSession, path, None))
+        history = cls(store, path)
+        if history.version:
+            raise ValueError(f"{path} holds a history already")
+        history._commit(0, {"profiles": near.profile(_usable(store, "content"), "document_id", "content", forms=True)})
+        return history
+
+    @classmethod
+    def open(cls, store: DataFrame, path: str) -> History:
+        """The history that was built below ``path``; profiles nothing."""
+        history = cls(store, path)
+        if not history.version:
+            raise ValueError(f"{path} holds no history")
+        return history
+
+    @property
+    def version(self) -> int:
+        return self._state.state()[0]
+
+    def _read(self, table: str) -> DataFrame:
+        parts = self._state.state()[1].get(table, [])
+        if not parts:
+            return self.spark.createDataFrame([], _TABLES[table])
+        return self.spark.read.schema(_TABLES[table]).parquet(*(f"{self._state.root}/{p}" for p in parts))
+
+    def _commit(self, version: int, rows: Mapping[str, DataFrame]) -> None:
+        """Add rows to tables as the version after ``version``; fails if that exists."""
+        tables = self._state.state()[1]
+        for table, df in rows.items():
+            part = f"{table}/part-{version + 1:010d}-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self._state.root}/{part}")
+            tables[table] = [*tables.get(table, []), part]
+        self._state._publish(version + 1, tables)
+
+    @property
+    def profiles(self) -> DataFrame:
+        return self._read("profiles")
+
+    def table(self, *cols: str) -> DataFrame:
+        """These columns of all accepted records."""
+        return _usable(self._store, "content").select(*cols).unionByName(self._read("records").select(*cols))
+
+    def representatives(self) -> DataFrame:
+        """(node, component): every linked id and the smallest id of its cluster."""
+        return self._read("representatives").groupBy("node").agg(
+            F.max_by("component", "version").alias("component")
+        )
+
+    def append(self, linked: Linked, batch: DataFrame) -> None:
+        """Add the accepted arrivals of ``batch`` and its links.  An error if
+        the history has changed since it was linked."""
+        records = _usable(batch, "content").join(
+            linked.accepted.select(F.col("id").alias("document_id")), "document_id", "left_semi"
+        ).dropDuplicates(["document_id"])
+        known = self.representatives()
+        edges = linked.pairs.where("in_id <> accepted_id").select("in_id", "accepted_id").distinct()
+        edges = write(edges, "history-links").df
+        nodes = edges.select(F.col("in_id").alias("node")).unionByName(edges.select(F.col("accepted_id").alias("node")))
+        # the clusters that links touch, by their names
+        met = known.join(nodes.distinct(), "node", "left_semi")
+        joined = components(edges.unionByName(met.select("node", "component").toDF("in_id", "accepted_id")), "in_id", "accepted_id")
+        joined = write(joined, "history-joined").df
+        others = known.join(joined.select(F.col("node").alias("component"), F.col("component").alias("new")), "component")
+        changed = (
+            joined.unionByName(others.select("node", F.col("new").alias("component"))).distinct()
+            .join(known, ["node", "component"], "left_anti")
+        )
+        self._commit(linked.version, {
+            "profiles": linked.profiles,
+            "records": records.select(*(F.col(c).cast("string") for c in ("document_id", "name", "content", "content_md5", "source_id"))),
+            "representatives": changed.withColumn("version", F.lit(linked.version + 1).cast("long")),
+        })
 
 
 class Linked:
     """The result of linking a batch.
 
     ``pairs``: (in_id, accepted_id, similarity, same_form), one per arrival and
-    accepted record; ``accepted``: ids of arrivals that became records.
+    accepted record; ``accepted``: ids of arrivals that became records;
+    ``profiles``: theirs; ``version``: the history's that was probed.
     """
 
-    def __init__(self, pairs: DataFrame, accepted: DataFrame):
-        self.pairs, self.accepted = pairs, accepted
+    def __init__(self, pairs: DataFrame, accepted: DataFrame, profiles: DataFrame, version: int):
+        self.pairs, self.accepted, self.profiles, self.version = pairs, accepted, profiles, version
 
 
 def _distinct_keys(profiles: DataFrame) -> DataFrame:
@@ -83,7 +179,7 @@ def link(history: History, batch: DataFrame, threshold: float = 0.6) -> Linked:
         ),
         "arrivals",
     ).df
-    theirs = history.profiles.df
+    version, theirs = history.version, history.profiles
 
     # candidates: arrivals' keys probe history's, then each other
     own_keys = write(near.key_rows(mine), "arrival-keys").df
@@ -102,7 +198,7 @@ def link(history: History, batch: DataFrame, threshold: float = 0.6) -> Linked:
     held = write(
         near.verified(
             pairs,
-            [(theirs, history.table, "document_id", "content"),
+            [(theirs, history.table("document_id", "content"), "document_id", "content"),
              (mine.select("id", "cls", "in_order", "as_card"), arrivals, "document_id", "content")],
             threshold, True,
         ),
@@ -141,7 +237,14 @@ def link(history: History, batch: DataFrame, threshold: float = 0.6) -> Linked:
         new.join(edges, "y").join(rows, F.col("cls") == F.col("x")).where("ord > acc_ord")
         .select(F.col("id").alias("in_id"), "ord", "accepted_id", "similarity", "same_form")
     )
-    return Linked(a.unionByName(b), accepted.select("id", "ord"))
+    # of a class only one row has the keys, not always the accepted one
+    keys = own_keys.groupBy("cls").agg(F.collect_list("key").alias("keys"))
+    profiles = (
+        accepted.select("id", "cls").distinct()
+        .join(mine.select("cls", "in_order", "as_card").dropDuplicates(["cls"]), "cls")
+        .join(keys, "cls").select("id", "cls", "in_order", "as_card", "keys")
+    )
+    return Linked(a.unionByName(b), accepted.select("id", "ord"), profiles, version)
 
 
 def _settle(free: DataFrame, held: DataFrame) -> DataFrame:
@@ -177,22 +280,24 @@ def _settle(free: DataFrame, held: DataFrame) -> DataFrame:
     return free if refused is None else free.join(refused, "cls", "left_anti")
 
 
-def found_links(batches: DataFrame, store: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(document_id_a, document_id_b) of every arrival and accepted record."""
-    got = link(History.build(store), batches, threshold).pairs
+def found_links(batches: DataFrame, store: DataFrame, threshold: float = 0.6, history: History | None = None) -> DataFrame:
+    """(document_id_a, document_id_b) of every arrival and accepted record.
+    ``history``: of the store and earlier calls; these batches are added to it."""
+    linked = link(history or History.build(store), batches, threshold)
+    got = linked.pairs
+    if history:
+        history.append(linked, batches)
     return got.where("in_id <> accepted_id").select(
         F.least("in_id", "accepted_id").alias("document_id_a"),
         F.greatest("in_id", "accepted_id").alias("document_id_b"),
     )
 
 
-def _features(pairs: DataFrame, batch: DataFrame, store: DataFrame) -> DataFrame:
+def _features(pairs: DataFrame, batch: DataFrame, records: DataFrame) -> DataFrame:
     cols = ("name", "content_md5", "source_id")
     fields = [F.lower(F.trim(F.col(c))).alias(c) for c in cols] + [F.length("content").alias("size")]
     left = batch.select(F.col("document_id").alias("in_id"), *fields)
-    right = store.select(F.col("document_id").alias("accepted_id"), *fields).unionByName(
-        batch.select(F.col("document_id").alias("accepted_id"), *fields)
-    )
+    right = records.select(F.col("document_id").alias("accepted_id"), *fields)
     for c in (*cols, "size"):
         left, right = left.withColumnRenamed(c, f"l_{c}"), right.withColumnRenamed(c, f"r_{c}")
     both = pairs.join(left, "in_id").join(right, "accepted_id")
@@ -230,12 +335,20 @@ def fit_weights(features: DataFrame, label: str = "same_form") -> np.ndarray:
     return w
 
 
-def representatives(batches: DataFrame, store: DataFrame, threshold: float = 0.6) -> DataFrame:
+def representatives(batches: DataFrame, store: DataFrame, threshold: float = 0.6,
+                    history: History | None = None) -> DataFrame:
     """(document_id, representative_id, best_id, score) of each arrival that
     repeats an accepted record: the partner of the highest score, and the
-    smallest id of the cluster that its links join."""
-    got = write(link(History.build(store), batches, threshold).pairs, "link-rows").df
-    feats = write(_features(got, batches, store), "link-features").df
+    smallest id of the cluster that its links join.  ``history``: of the store
+    and earlier calls; these batches are added to it."""
+    history = history or History.build(store)
+    linked = link(history, batches, threshold)
+    # a record that arrives again is no partner of itself
+    got = linked.pairs = write(linked.pairs.where("in_id <> accepted_id"), "link-rows").df
+    history.append(linked, batches)
+    feats = write(
+        _features(got, batches, history.table("document_id", "name", "content", "content_md5", "source_id")), "link-features"
+    ).df
     w = fit_weights(feats)
     z = F.lit(float(w[-1]))
     for c, k in zip(FEATURES, w):
@@ -245,8 +358,7 @@ def representatives(batches: DataFrame, store: DataFrame, threshold: float = 0.6
         # highest score, then the smallest id
         F.min(F.struct((-F.col("score")).alias("s"), F.col("accepted_id").alias("i"))).alias("b")
     )
-    clusters = components(got, "in_id", "accepted_id")
-    return best.join(clusters, F.col("document_id") == F.col("node")).select(
+    return best.join(history.representatives(), F.col("document_id") == F.col("node")).select(
         "document_id", F.col("component").alias("representative_id"), F.col("b.i").alias("best_id"),
         (-F.col("b.s")).alias("score"),
     )
