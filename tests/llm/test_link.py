@@ -114,3 +114,19 @@ def test_history_is_taken_up_by_later_batches(spark, tmp_path, monkeypatch):
     history.append(linked, b.where("batch_no = 3"))
     with pytest.raises(Conflict):
         history.append(linked, b.where("batch_no = 3"))
+
+
+def test_near_edits_only_have_the_most_similar_as_best(spark):
+    store, batch = [], []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(40)]
+        store += [(f"s{g:02d}a", " ".join([*words[:34], "o", "t", "h", "e", "r"])), (f"s{g:02d}b", " ".join([*words, "end"]))]
+        store.append((f"s{g:02d}c", " ".join([*words[:14], *(f"g{g}x{i}" for i in range(14))])))  # a candidate, no link
+        batch.append((1, g, f"b{g:02d}", " ".join([*words, "new", "tail"])))
+    b, s = frames(spark, store, batch)
+    linked = link.link(link.History.build(s), b)
+    assert linked.pairs.where("same_form").count() == 0
+    rejected = linked.rejected.collect()
+    assert rejected and all(r["similarity"] < 0.6 for r in rejected)
+    got = link.representatives(b, s).collect()
+    assert {(r["document_id"], r["best_id"]) for r in got} == {(f"b{g:02d}", f"s{g:02d}b") for g in range(12)}

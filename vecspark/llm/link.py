@@ -14,7 +14,8 @@ by union-find: only clusters that a link touches are written again.
 
 Scores: features of each link (similarity of texts, equal hash, name, source,
 closeness of length) are weighted by a logistic model, fitted to at most
-``SAMPLE`` candidate pairs labelled by the exact comparison; the score picks
+``SAMPLE`` candidate pairs, half of them links and half candidates that the exact
+comparison rejects; the score picks
 the representative among several accepted partners, it never drops a pair.
 
 Defined cases: null and blank contents are neither linked nor accepted; rows
@@ -149,11 +150,14 @@ class Linked:
 
     ``pairs``: (in_id, accepted_id, similarity, same_form), one per arrival and
     accepted record; ``accepted``: ids of arrivals that became records;
-    ``profiles``: theirs; ``version``: the history's that was probed.
+    ``profiles``: theirs; ``version``: the history's that was probed;
+    ``rejected``: like ``pairs``, of a bounded sample of candidates that are no
+    links, one row per two classes.
     """
 
-    def __init__(self, pairs: DataFrame, accepted: DataFrame, profiles: DataFrame, version: int):
+    def __init__(self, pairs: DataFrame, accepted: DataFrame, profiles: DataFrame, version: int, rejected: DataFrame):
         self.pairs, self.accepted, self.profiles, self.version = pairs, accepted, profiles, version
+        self.rejected = rejected
 
 
 def _distinct_keys(profiles: DataFrame) -> DataFrame:
@@ -195,15 +199,12 @@ def link(history: History, batch: DataFrame, threshold: float = 0.6) -> Linked:
         .distinct(),
         "link-pairs",
     ).df
-    held = write(
-        near.verified(
-            pairs,
-            [(theirs, history.table("document_id", "content"), "document_id", "content"),
-             (mine.select("id", "cls", "in_order", "as_card"), arrivals, "document_id", "content")],
-            threshold, True,
-        ),
-        "links",
-    ).df
+    sets = near.class_sets(
+        pairs,
+        [(theirs, history.table("document_id", "content"), "document_id", "content"),
+         (mine.select("id", "cls", "in_order", "as_card"), arrivals, "document_id", "content")],
+    )
+    held = write(near.verified(pairs, sets, threshold, True), "links").df
     # classes of copies are the same form, whatever their similarity
     edges = held.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y"), "similarity", "same_form")
     edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"), "similarity", "same_form"))
@@ -244,7 +245,24 @@ def link(history: History, batch: DataFrame, threshold: float = 0.6) -> Linked:
         .join(mine.select("cls", "in_order", "as_card").dropDuplicates(["cls"]), "cls")
         .join(keys, "cls").select("id", "cls", "in_order", "as_card", "keys")
     )
-    return Linked(a.unionByName(b), accepted.select("id", "ord"), profiles, version)
+    records = old.select("accepted_id", "y").unionByName(new.select("accepted_id", "y"))
+    rejected = _rejected(pairs, held, sets, rows, records)
+    return Linked(a.unionByName(b), accepted.select("id", "ord"), profiles, version, rejected)
+
+
+def _rejected(pairs: DataFrame, held: DataFrame, sets: DataFrame, rows: DataFrame, records: DataFrame) -> DataFrame:
+    """(in_id, ord, accepted_id, similarity, same_form) of the SAMPLE candidate
+    pairs of classes with the smallest hashes that do not hold."""
+    some = pairs.join(held.select("cls_a", "cls_b"), ["cls_a", "cls_b"], "left_anti").orderBy(
+        F.xxhash64("cls_a", "cls_b"), "cls_a", "cls_b"
+    ).limit(SAMPLE)
+    known = near.similarities(some, sets).select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y"), "similarity")
+    known = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "similarity"))
+    left = rows.groupBy(F.col("cls").alias("x")).agg(F.min(F.struct("ord", "id")).alias("l"))
+    right = records.join(known.select("y").distinct(), "y", "left_semi").groupBy("y").agg(F.min("accepted_id").alias("accepted_id"))
+    return known.join(left, "x").join(right, "y").select(
+        F.col("l.id").alias("in_id"), F.col("l.ord").alias("ord"), "accepted_id", "similarity", F.lit(False).alias("same_form")
+    )
 
 
 def _settle(free: DataFrame, held: DataFrame) -> DataFrame:
@@ -313,13 +331,14 @@ def _features(pairs: DataFrame, batch: DataFrame, records: DataFrame) -> DataFra
     )
 
 
-def fit_weights(features: DataFrame, label: str = "same_form") -> np.ndarray:
-    """Logistic weights (intercept last) of FEATURES on a bounded sample of
-    labelled pairs: those with the SAMPLE smallest hashes of their ids."""
-    rows = (
-        features.orderBy(F.xxhash64("in_id", "accepted_id")).limit(SAMPLE)
-        .select(*(F.col(c).cast("double") for c in FEATURES), F.col(label).cast("double").alias("y")).collect()
-    )
+def fit_weights(links: DataFrame, rejected: DataFrame) -> np.ndarray:
+    """Logistic weights (intercept last) of FEATURES, links against rejected
+    candidates; of each those with the SAMPLE / 2 smallest hashes of their ids."""
+    rows = [
+        r for df, y in ((links, 1.0), (rejected, 0.0))
+        for r in df.orderBy(F.xxhash64("in_id", "accepted_id"), "in_id", "accepted_id").limit(SAMPLE // 2)
+        .select(*(F.col(c).cast("double") for c in FEATURES), F.lit(y).alias("y")).collect()
+    ]
     w = np.zeros(len(FEATURES) + 1)
     if not rows:
         return w
@@ -346,10 +365,9 @@ def representatives(batches: DataFrame, store: DataFrame, threshold: float = 0.6
     # a record that arrives again is no partner of itself
     got = linked.pairs = write(linked.pairs.where("in_id <> accepted_id"), "link-rows").df
     history.append(linked, batches)
-    feats = write(
-        _features(got, batches, history.table("document_id", "name", "content", "content_md5", "source_id")), "link-features"
-    ).df
-    w = fit_weights(feats)
+    records = history.table("document_id", "name", "content", "content_md5", "source_id")
+    feats = write(_features(got, batches, records), "link-features").df
+    w = fit_weights(feats, _features(linked.rejected, batches, records))
     z = F.lit(float(w[-1]))
     for c, k in zip(FEATURES, w):
         z = z + F.col(c) * F.lit(float(k))

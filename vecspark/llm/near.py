@@ -167,13 +167,11 @@ def far_apart(threshold: float) -> int:
     return int(k * (1 - threshold) + 6 * (k * threshold * (1 - threshold)) ** 0.5) + 1
 
 
-def verified(pairs: DataFrame, sources: list[tuple[DataFrame, DataFrame, str, str]], threshold: float,
-             form_too: bool) -> DataFrame:
-    """(cls_a, cls_b, similarity, same_form) of the candidate pairs that hold.
+def class_sets(pairs: DataFrame, sources: list[tuple[DataFrame, DataFrame, str, str]]) -> DataFrame:
+    """(cls, sig, shingles, in_order, as_card, size) of the classes in ``pairs``.
 
     ``sources``: (profiles, table, id column, text column) of all classes.
-    Only one text per class that occurs in a pair is read again.  ``form_too``
-    also keeps pairs of the same form below the threshold.
+    Only one text per class that occurs in a pair is read again.
     """
     wanted = write(
         pairs.select(F.col("cls_a").alias("cls")).unionByName(pairs.select(F.col("cls_b").alias("cls"))).distinct(),
@@ -196,7 +194,32 @@ def verified(pairs: DataFrame, sources: list[tuple[DataFrame, DataFrame, str, st
         sets = own if sets is None else sets.unionByName(own)
     if len(sources) > 1:
         sets = sets.dropDuplicates(["cls"])
-    sets = write(sets.withColumn("size", F.size("shingles")), "near-sets").df
+    return write(sets.withColumn("size", F.size("shingles")), "near-sets").df
+
+
+def _similarity(rows: DataFrame) -> DataFrame:
+    """``rows`` with the similarity of ``a_shingles`` and ``b_shingles``."""
+    both = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    either = F.size("a_shingles") + F.size("b_shingles") - F.col("both")
+    return rows.withColumn("both", both).withColumn(
+        "similarity", F.when(either > 0, F.col("both") / either).otherwise(F.lit(0.0))
+    )
+
+
+def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls_a, cls_b, similarity) of all of a bounded number of ``pairs``."""
+    for x in ("a", "b"):
+        own = sets.select(F.col("cls").alias(f"cls_{x}"), F.col("shingles").alias(f"{x}_shingles"))
+        pairs = pairs.join(own, f"cls_{x}")
+    return _similarity(pairs).select("cls_a", "cls_b", "similarity")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float, form_too: bool) -> DataFrame:
+    """(cls_a, cls_b, similarity, same_form) of the candidate pairs that hold.
+
+    ``sets``: of their classes, see ``class_sets``.  ``form_too`` also keeps
+    pairs of the same form below the threshold.
+    """
     # what a broadcast of all sets would hold: their number does not bound it
     held = sets.agg(F.coalesce(F.sum(F.size("shingles") + BLOCKS * WIDTH), F.lit(0))).first()[0]
 
@@ -214,11 +237,7 @@ def verified(pairs: DataFrame, sources: list[tuple[DataFrame, DataFrame, str, st
         F.coalesce(some & (distance <= far_apart(threshold)), F.lit(False)).alias("near"),
     )
     met = sides(met.where("near or same_form" if form_too else "near and not same_form"), "shingles")
-    both = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    either = F.size("a_shingles") + F.size("b_shingles") - F.col("both")
-    met = met.withColumn("both", both).withColumn(
-        "similarity", F.when(either > 0, F.col("both") / either).otherwise(F.lit(0.0))
-    )
+    met = _similarity(met)
     enough = F.col("similarity") >= threshold - 1e-12
     return met.where(enough | F.col("same_form") if form_too else enough).select(
         "cls_a", "cls_b", "similarity", "same_form"
@@ -231,7 +250,8 @@ def class_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.
     table = df.where(F.col(text_col).isNotNull())
     profiles = write(profile(table, id_col, text_col), "near-profiles").df
     pairs = write(block_pairs(key_rows(profiles)), "near-pairs").df
-    links = write(verified(pairs, [(profiles, table, id_col, text_col)], threshold, False), "near-links").df
+    sets = class_sets(pairs, [(profiles, table, id_col, text_col)])
+    links = write(verified(pairs, sets, threshold, False), "near-links").df
     return profiles.select("id", "cls"), links
 
 
