@@ -130,3 +130,14 @@ def test_near_edits_only_have_the_most_similar_as_best(spark):
     assert rejected and all(r["similarity"] < 0.6 for r in rejected)
     got = link.representatives(b, s).collect()
     assert {(r["document_id"], r["best_id"]) for r in got} == {(f"b{g:02d}", f"s{g:02d}b") for g in range(12)}
+
+
+def test_repeated_rows_give_their_pairs_once(spark):
+    text = " ".join(f"q{i}" for i in range(20))
+    near_text = text + " end"
+    store = [("s", text), ("s", text), ("t", near_text)]
+    batch = [(2, 1, "w", near_text), (2, 1, "w", near_text), (2, 2, "x", "other " * 3 + "words"), (2, 3, "y", "other other other words")]
+    got = [tuple(r) for r in link.found_links(*frames(spark, store, batch * 2)).collect()]
+    assert sorted(got) == [("s", "w"), ("t", "w"), ("x", "y")]
+    rows = spark.createDataFrame([("a", text), ("a", text), ("b", near_text), ("b", near_text)], "document_id string, content string")
+    assert [tuple(r) for r in link.near.found_pairs(rows).collect()] == [("a", "b")]

@@ -218,7 +218,7 @@ def link(history: History, batch: DataFrame, threshold: float = 0.6) -> Linked:
         outward.select(F.col("in_cls").alias("x"), F.col("old_cls").alias("y")), ["x", "y"], "left_semi"
     )
     to_old = write(to_old, "links-old").df
-    rows = mine.select("id", "ord", "cls")
+    rows = mine.select("id", "ord", "cls").distinct()  # rows that repeat are one arrival
     matched = to_old.select(F.col("x").alias("cls")).distinct()
     free = write(
         rows.join(matched, "cls", "left_anti").groupBy("cls").agg(F.min("ord").alias("ord")), "free-classes"
@@ -228,7 +228,7 @@ def link(history: History, batch: DataFrame, threshold: float = 0.6) -> Linked:
         rows.join(accepted_cls, ["cls", "ord"]).select("id", "ord", "cls"), "accepted"
     ).df
 
-    old = theirs.select(F.col("id").alias("accepted_id"), F.col("cls").alias("y"))
+    old = theirs.select(F.col("id").alias("accepted_id"), F.col("cls").alias("y")).distinct()
     a = (
         rows.join(to_old, F.col("cls") == F.col("x")).join(old, "y")
         .select(F.col("id").alias("in_id"), "ord", "accepted_id", "similarity", "same_form")
@@ -318,6 +318,7 @@ def _features(pairs: DataFrame, batch: DataFrame, records: DataFrame) -> DataFra
     right = records.select(F.col("document_id").alias("accepted_id"), *fields)
     for c in (*cols, "size"):
         left, right = left.withColumnRenamed(c, f"l_{c}"), right.withColumnRenamed(c, f"r_{c}")
+    left, right = left.dropDuplicates(["in_id"]), right.dropDuplicates(["accepted_id"])
     both = pairs.join(left, "in_id").join(right, "accepted_id")
 
     def same(c: str) -> Column:

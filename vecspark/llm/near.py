@@ -192,8 +192,8 @@ def class_sets(pairs: DataFrame, sources: list[tuple[DataFrame, DataFrame, str,
         )
         own = _sets(texts.select("cls", "text")).join(maybe_broadcast(reps.drop("id"), n), "cls")
         sets = own if sets is None else sets.unionByName(own)
-    if len(sources) > 1:
-        sets = sets.dropDuplicates(["cls"])
+    # a class may be in several sources, a row several times in one
+    sets = sets.dropDuplicates(["cls"])
     return write(sets.withColumn("size", F.size("shingles")), "near-sets").df
 
 
@@ -259,6 +259,7 @@ def found_pairs(df: DataFrame, id_col: str = "document_id", text_col: str = "con
                 threshold: float = 0.6) -> DataFrame:
     """(document_id_a, document_id_b): similar rows of different form."""
     members, links = class_links(df, id_col, text_col, threshold)
+    members = members.distinct()
     a = members.select(F.col("id").alias("x"), F.col("cls").alias("cls_a"))
     b = members.select(F.col("id").alias("y"), F.col("cls").alias("cls_b"))
     return (
