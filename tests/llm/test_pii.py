@@ -59,3 +59,14 @@ def test_long_and_empty(spark, members):
 def test_checksums():
     assert pii.luhn("79927398713") and not pii.luhn("79927398710")
     assert pii.mod97("3214282912345698765432161182") and not pii.mod97("1234")
+
+
+def test_a_call_cue_lifts_short_and_slashed_numbers():
+    r = pii.Register([], [], [])
+
+    def phones(text):
+        return [text[a:b] for a, b, kind, *_ in pii.spans(text, r) if kind == "phone"]
+
+    assert phones("Telephone: 482-0145. Call 731-2288, Fax 0711/12345; Rufen Sie 0711/54321 an.") == [
+        "482-0145", "731-2288", "0711/12345", "0711/54321"]
+    assert not phones("The vote stood at 901-2205. Bill 368-3888. Budget line 0102/165. Roll call 901-2205. Call bill 368-3888.")

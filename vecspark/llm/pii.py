@@ -95,6 +95,11 @@ _OTHER = re.compile(
 _CALL = re.compile(
     r"(?:tel\w*|phone|call|try|line is|reached at|or|unter|oder|appelez le|au|joindre|llamen al|teléfono|es|rufen|fax|,|;|–|\()\W*(?:\S+\W+)?$", re.I
 )
+#: Words that say by themselves that a phone number follows.
+_SURE_CALL = re.compile(
+    r"(?:\b(?:tel|telefon\w*|tél|téléphone|teléfono|telephone|phone|fax|mobile|handy|(?<!roll )call|reached at|rufen sie|anruf\w*|"
+    r"appelez le|llamen al)\b)[\s.:]*(?:(?:no|nr|n°|at|on|us|me|is|unter|au|al|es|número|number|the)\b[\s.:]*){0,3}$", re.I
+)
 #: Words before and after a person's name.
 _BEFORE = re.compile(
     r"(?:signed|spoke with|landlord is|due to|constituent,|account holder|record show that|evidence of|and of|stands:|"
@@ -224,10 +229,12 @@ def spans(text: str | None, r: Register) -> list[tuple[int, int, str, str, str]]
         for m in matches(PHONE):
             before = text[max(0, m.start() - 30) : m.start()]
             score = 0.7
-            if m.re is _SHORT:
-                score = 0.65 if m.group().startswith("555") else 0.3
-            if m.re is _SLASHED and "-" not in m.group():
-                score = 0.3
+            # forms that are also those of bills, votes and budget lines
+            open_form = m.re is _SHORT and not m.group().startswith("555") or m.re is _SLASHED and "-" not in m.group()
+            if open_form:
+                score = 0.3 + 0.35 * bool(_SURE_CALL.search(before))
+            elif m.re is _SHORT:
+                score = 0.65
             score += 0.2 * bool(_CALL.search(before)) - 0.5 * bool(_OTHER.search(before))
             if score >= THRESHOLD:
                 add(m.start(), m.end(), "phone")
