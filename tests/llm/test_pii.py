@@ -70,3 +70,9 @@ def test_a_call_cue_lifts_short_and_slashed_numbers():
     assert phones("Telephone: 482-0145. Call 731-2288, Fax 0711/12345; Rufen Sie 0711/54321 an.") == [
         "482-0145", "731-2288", "0711/12345", "0711/54321"]
     assert not phones("The vote stood at 901-2205. Bill 368-3888. Budget line 0102/165. Roll call 901-2205. Call bill 368-3888.")
+
+
+def test_hyphenated_given_names():
+    r = pii.Register(["karl", "heinz", "jean-pierre"], ["weber", "martin"], ["Nieder-Ulm"])
+    text = "Gestern kam Karl-Heinz Weber. Puis Jean-Pierre Martin. Nach Ober-Saint Weber und Nieder-Ulm Weber."
+    assert [text[a:b] for a, b, kind, *_ in pii.spans(text, r)] == ["Karl-Heinz Weber", "Jean-Pierre Martin"]

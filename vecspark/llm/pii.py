@@ -166,7 +166,10 @@ def _name_score(r: Register, given: str, family: str, before: str, after: str) -
     if given in _TITLES or family in _TITLES or family in r.places or given in r.places:
         return 0.0
     cue = bool(_BEFORE.search(before) or _AFTER.match(after))
-    score = 0.4 * (given in r.given)
+    parts = given.split("-")
+    if any(p in _TITLES or p in r.places for p in parts):
+        return 0.0
+    score = 0.4 * (given in r.given or any(p in r.given for p in parts))
     if family in r.family:
         score += 0.3
     elif family[-3:] in r.ends:
@@ -186,7 +189,7 @@ def _names(text: str, r: Register) -> Iterator[tuple[int, int, str, str]]:
             word = word[2:]
         first = _plain(word)
         f = _FAMILY.match(text, end)
-        if f and "-" not in first:
+        if f:
             family = _plain(f.group(2))
             score = _name_score(r, first, family, text[max(0, at - 30) : at], text[f.end() : f.end() + 25])
             if score >= THRESHOLD:
