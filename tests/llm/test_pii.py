@@ -76,3 +76,9 @@ def test_hyphenated_given_names():
     r = pii.Register(["karl", "heinz", "jean-pierre"], ["weber", "martin"], ["Nieder-Ulm"])
     text = "Gestern kam Karl-Heinz Weber. Puis Jean-Pierre Martin. Nach Ober-Saint Weber und Nieder-Ulm Weber."
     assert [text[a:b] for a, b, kind, *_ in pii.spans(text, r)] == ["Karl-Heinz Weber", "Jean-Pierre Martin"]
+
+
+def test_a_register_beyond_the_bound_is_an_error(spark, members, monkeypatch):
+    monkeypatch.setattr(pii, "REGISTER", 2)
+    with pytest.raises(ValueError):
+        pii.register(members)

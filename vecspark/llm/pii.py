@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.6
 KINDS = ("email", "address", "phone", "idno", "name")
-#: Rows of the register that are used at most (the most frequent names).
+#: Names of each kind that the register holds at most; more are an error.
 REGISTER = 100_000
 
 _S = r"(?:\r\n|\s)"  # a single white space, which may be a line break
@@ -255,14 +255,16 @@ def spans(text: str | None, r: Register) -> list[tuple[int, int, str, str, str]]
 def register(names: DataFrame) -> Register:
     """The register of a table of given_name, family_name, constituency."""
 
-    def top(c: str) -> list[str]:
+    def known(c: str) -> list[str]:
         rows = (
-            names.where(F.col(c).isNotNull()).groupBy(F.lower(F.trim(c)).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(REGISTER).collect()
+            names.where(F.col(c).isNotNull()).select(F.lower(F.trim(c)).alias("w")).distinct()
+            .limit(REGISTER + 1).collect()
         )
+        if len(rows) > REGISTER:
+            raise ValueError(f"the register holds its names in memory: at most {REGISTER} of {c}")
         return [x["w"] for x in rows]
 
-    return Register(top("given_name"), top("family_name"), top("constituency"))
+    return Register(known("given_name"), known("family_name"), known("constituency"))
 
 
 def _all_spans(docs: DataFrame, id_col: str, text_col: str, r: Register) -> DataFrame:
