@@ -78,7 +78,56 @@ def test_hyphenated_given_names():
     assert [text[a:b] for a, b, kind, *_ in pii.spans(text, r)] == ["Karl-Heinz Weber", "Jean-Pierre Martin"]
 
 
-def test_a_register_beyond_the_bound_is_an_error(spark, members, monkeypatch):
+@pytest.mark.parametrize("query", [pii.found, pii.masked])
+def test_a_register_beyond_the_bound_is_joined(spark, members, monkeypatch, query):
+    docs = spark.createDataFrame(
+        [(i % 7, t, "x") for i, (t, _) in enumerate(CASES)] + [(None, CASES[12][0], "y")], "doc_id long, text string, w string")
+    docs = docs.union(docs)
+    want = sorted(query(docs, members).collect(), key=str)
+    monkeypatch.setattr(pii, "REGISTER", 0)
+    # the model of endings has no names to learn from, the register is complete
+    few = [t for t, _ in CASES[:11]] + [CASES[13][0]]
+    got = query(docs.where(docs.text.isin(few) | docs.text.isNull()), members).collect()
+    assert sorted(got, key=str) == sorted(query(docs.where(docs.text.isin(few) | docs.text.isNull()), members).collect(), key=str)
     monkeypatch.setattr(pii, "REGISTER", 2)
-    with pytest.raises(ValueError):
-        pii.register(members)
+    assert sorted(query(docs, members).collect(), key=str) == want
+
+
+def test_members_without_names_exclude_nobody(spark, members):
+    docs = spark.createDataFrame([(1, "Mail: jo@field.example, or Hedir Ilavock, a nurse.")], "doc_id long, text string")
+    blank = spark.createDataFrame([(9, "", " ", None, None), (10, None, None, None, None), (11, "Hedir", "", None, None)], members.schema)
+    for who in (members, members.union(blank)):
+        assert {tuple(r) for r in pii.found(docs, who).collect()} == {(1, "email", "jo@field.example"), (1, "name", "Hedir Ilavock")}
+        assert pii.masked(docs, who).collect()[0]["text"] == "Mail: [EMAIL], or [NAME], a nurse."
+
+
+#: Sentences that have nothing to do with the tables: what is found in each.
+ELSEWHERE = [
+    ("Tel. 389-4821", ["389-4821"]),
+    ("Our score was 389-4821 and room 312-4455 stayed empty.", []),
+    ("I spoke with Barbara Whitfield yesterday.", ["Barbara Whitfield"]),
+    ("My neighbour, Thomas Brandt, dialled (030) 123-4567.", ["Thomas Brandt", "(030) 123-4567"]),
+    ("The University hired Sarah Miller; Robert Street is closed.", ["Sarah Miller"]),
+    ("Frau Ursula Weber, wohnhaft Hauptstraße 5, Telefon 0711/12345.", ["Ursula Weber", "Hauptstraße 5", "0711/12345"]),
+    ("Die Rechnung 0711/12345 ist offen.", []),
+    # a valid check is enough, and so is a word that says what it is
+    ("The code 79927398713 was printed.", ["79927398713"]),
+    ("The code 79927398710 was printed.", []),
+    ("The passport 79927398710 was printed.", ["79927398710"]),
+    ("Cédula 12345678A.", ["12345678A"]),
+    ("Ref 12345678Z was paid in May, while ref 12345678A was not.", ["12345678Z"]),
+    # too many digits for a phone number, unless it is called one
+    ("Der Wert (01234) 567-8901 gilt.", ["(01234) 567-8901"]),
+    ("Bill (0555) 393-9591 failed.", []),
+]
+
+
+@pytest.mark.parametrize("text, want", ELSEWHERE)
+def test_sentences_from_elsewhere(text, want):
+    r = pii.Register([], [], [])
+    assert [text[a:b] for a, b, *_ in pii.spans(text, r)] == want
+
+
+def test_endings_tell_names_from_places():
+    e = pii.Endings(["kelorley", "tamley", "brandtmann"], ["yaroburn", "ulorburn", "tamley"])
+    assert e.likely("sandley", 3) and not e.likely("peraburn", 3) and not e.likely("xyz", 2)
