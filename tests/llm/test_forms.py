@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from vecspark import runtime
 from vecspark.llm import forms
 
 SCHEMA = "document_id string, content string, id int, form string, k1 int"
@@ -30,14 +32,29 @@ def test_collapsed_counts_every_row(spark):
     assert got["r0"] == 4 and got["r2"] == 1
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_with_and_without_broadcast(spark, monkeypatch, limit):
-    monkeypatch.setattr(forms, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("words", [2, 1 << 20])
+def test_any_number_of_classes_fits_the_bitmap(spark, monkeypatch, words):
+    monkeypatch.setattr(runtime, "BITMAP_WORDS", words)
     rows = [(f"h{i:04d}", "the hot form" if i % 3 else f"own {i}") for i in range(900)]
     got = forms.found_copies(frame(spark, rows)).collect()
     assert len(got) == 599 and {r[0] for r in got} == {"h0001"}
 
 
+def test_texts_alone_in_their_class_are_not_digested(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    digest = forms.form_keys
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+
+    monkeypatch.setattr(forms, "form_keys", lambda df, text, keep: digest(df.withColumn(text, counted(text)), text, keep))
+    rows = [(f"h{i:04d}", "hot form" if i % 9 == 0 else "abcdefgh"[i % 8] * (i + 1)) for i in range(900)]
+    assert forms.found_copies(frame(spark, rows)).count() == 99
+    assert seen.value < 300
+
+
 def test_empty(spark):
     assert forms.found_copies(frame(spark, [])).count() == 0
     assert forms.collapsed(frame(spark, [])).count() == 0

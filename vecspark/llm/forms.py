@@ -4,7 +4,8 @@ Pass 1 groups all rows by cheap invariants (the stripped length and a letter
 histogram, the same for any order of fields).  Pass 2 computes the costlier
 key, a digest of the letters and digits in order or of the sorted field lines
 of a card, only for rows whose class has several members.  Both passes are
-expressions in generated code; only ids and keys are shuffled, never texts.
+expressions in generated code; only ids and keys are shuffled, never texts.  The
+classes reach the second scan as a bitmap of a fixed size, however many they are.
 
 Defined cases: null texts are in no group; texts without any letter or digit
 have one form, the empty one; ties for the smallest id cannot matter (ids that
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.runtime import BROADCAST_ROWS, join_groups, python_space, write
+from vecspark.runtime import join_groups, maybe_in, python_space, write
 
 #: Letters counted in the histogram.
 HISTOGRAM = "eanritos"
@@ -70,16 +71,10 @@ def same_form_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     several = write(
         cheap.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1"), "form-classes"
-    )
-    n = several.df.count()
-    if n <= BROADCAST_ROWS:
-        # checked size: the second scan drops all other rows before any shuffle
-        keyed = form_keys(cheap.join(F.broadcast(several.df), "k1", "left_semi"), "text", ["id"])
-    else:
-        # too many classes to broadcast: digest every row in the scan and
-        # shuffle keys, not texts
-        keyed = form_keys(cheap, "text", ["id", "k1"]).join(several.df, "k1", "left_semi").drop("k1")
-    keys = write(keyed, "form-keys").df
+    ).df
+    # the second scan drops nearly all other rows before a text is digested; a
+    # row that stays by chance is alone in its form, too
+    keys = write(form_keys(maybe_in(cheap, several, "k1"), "text", ["id"]), "form-keys").df
     # a text that is no card has the form of a card with the same letters
     cards = (
         keys.where("as_card is not null").groupBy("in_order").agg(F.min("as_card").alias("card_form"))
