@@ -50,6 +50,38 @@ def brute(x, k=5):
     return np.argsort(-s, axis=1, kind="stable")[:, :k], s
 
 
+def around(rng, centre, n, cosine=0.75):
+    """Unit vectors at about this cosine from a centre."""
+    noise = rng.normal(size=(n, 64))
+    noise -= (noise @ centre)[:, None] * centre
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    return cosine * centre + (1 - cosine**2) ** 0.5 * noise
+
+
+@pytest.mark.parametrize("lost", [0, 2])
+def test_close_directions_small_clusters_and_lost_seeds(spark, monkeypatch, lost):
+    rng = np.random.RandomState(8)
+    a, b, c = np.linalg.qr(rng.normal(size=(64, 3)))[0].T
+    b = 0.45 * a + (1 - 0.45**2) ** 0.5 * b  # two directions at a cosine of 0.45
+    # rows of one direction that are near the other belong to none
+    x = np.concatenate([around(rng, a, 900, 0.68), around(rng, b, 800, 0.68), around(rng, c, 20), rng.normal(size=(900, 64))])
+    condense, calls = clusters._condense, []
+
+    def forgetful(*args):
+        calls.append(1)
+        tops, mass = condense(*args)
+        return (tops[lost:], mass[lost:]) if len(calls) == 1 else (tops, mass)
+
+    monkeypatch.setattr(clusters, "_condense", forgetful)
+    got = clusters.cluster(spark.createDataFrame(rows_of(x), SCHEMA), "point_id", [], "embedding")
+    sizes = sorted(r["size"] for r in got.select("cluster_id", "size").distinct().collect())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = unit @ np.stack([a, b, c]).T
+    top2 = np.sort(cos, 1)
+    want = np.bincount(cos.argmax(1)[(top2[:, 2] >= 0.6) & (top2[:, 1] < 0.5)], minlength=3)
+    assert len(sizes) == 3 and np.abs(np.array(sizes) - np.sort(want)).max() <= 12
+
+
 def test_scan_equals_brute_force():
     x, _ = planted(3)
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)

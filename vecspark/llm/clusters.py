@@ -8,8 +8,9 @@ probability in proportion to its distance from the seeds so far (by a hash of
 its id, so that a repeated task draws the same).  The weighted seeds, bounded
 in number whatever the input's size, are condensed to centres on the driver.
 Each further pass assigns all rows and adds up the sums per centre on the map
-side; rows too far from every centre belong to none.  As a cluster holds at
-least ``share`` of all rows, there are at most 1 / share of them.
+side; rows too far from every centre belong to none.  Once the centres rest,
+seeds are drawn again among the rows outside, until these hold no cluster.  As a
+cluster holds at least ``share`` of all rows, there are at most 1 / share of them.
 
 Defined cases: rows without a usable vector are left out; repeated rows of one
 id are one; ties go to the smallest id; without any cluster (also for empty
@@ -32,6 +33,10 @@ from vecspark.runtime import write
 
 #: Expected number of seeds drawn by each pass, and the number of passes.
 SEEDS, PASSES = 800, 4
+#: Rows outside all clusters that are looked at for a further cluster, on average.
+OUTSIDE = 4096
+#: Cosine from which two centres are one.
+MEET = 0.8
 _ROWS = 4096
 #: Hash buckets whose document frequencies weight the words of texts.
 _BUCKETS = 1 << 18
@@ -106,21 +111,67 @@ def _belongs(x: np.ndarray, centres: np.ndarray, near: float, far: float | None)
     return own, ok
 
 
-def _condense(seeds: np.ndarray, weight: np.ndarray, limit: int) -> np.ndarray:
-    """Centres of a bounded number of weighted seeds: each seed climbs to the
-    weighted mean of its surroundings; ends that meet are one."""
+def _condense(seeds: np.ndarray, weight: np.ndarray, limit: int, far: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of a bounded number of weighted seeds, and the weight around
+    each: each seed climbs to the weighted mean of its surroundings, which
+    shrink until they leave out what is ``far`` (of other clusters); ends that
+    meet are one."""
     top = seeds.copy()
-    for _ in range(8):
-        near = np.where(top @ seeds.T >= 0.4, weight[None], 0).astype(np.float32)
+    for radius in np.minimum([0.3, 0.35, 0.4, 0.45, 0.5, 0.5, 0.5, 0.5], far):
+        near = np.where(top @ seeds.T >= radius, weight[None], 0).astype(np.float32)
         top = unit(near @ seeds).astype(np.float32)
-    mass = np.where(top @ seeds.T >= 0.4, weight[None], 0).sum(1)
-    centres: list[np.ndarray] = []
+    mass = np.where(top @ seeds.T >= far, weight[None], 0).sum(1)
+    chosen: list[int] = []
     for i in np.argsort(-mass, kind="stable"):
-        if not centres or (np.array(centres) @ top[i]).max() < 0.8:
-            centres.append(top[i])
-        if len(centres) == limit:
+        if not chosen or (top[chosen] @ top[i]).max() < MEET:
+            chosen.append(int(i))
+        if len(chosen) == limit:
             break
-    return np.array(centres, np.float32)
+    return top[chosen], mass[chosen]
+
+
+def _refine(v: DataFrame, dim: int, centres: np.ndarray, near: float, far: float, floor: float, least: int) -> tuple[np.ndarray, int]:
+    """k-means passes until the centres rest, and the rows in their clusters.
+    The first two passes are lax, as centres of strays and halves of clusters
+    must not keep others from their rows."""
+    inside = 0
+    for turn in range(12):
+        if not len(centres):
+            break
+        strict = turn >= 2
+        size, s = _sums(v, dim, centres, near if strict else near - 0.1, far if strict else None)
+        inside = int(size.sum())
+        keep = np.flatnonzero(size >= (floor if turn >= 4 else max(least, floor / 4)))
+        moved = unit(s[keep]).astype(np.float32)
+        merged: list[int] = []
+        for i in np.argsort(-size[keep], kind="stable"):
+            if not merged or (moved[merged] @ moved[i]).max() < MEET:
+                merged.append(int(i))
+        merged.sort()
+        still = len(merged) == len(centres)
+        new = moved[merged]
+        done = strict and turn >= 5 and still and (np.einsum("ij,ij->i", new, centres) > 1 - 1e-6).all()
+        centres = new
+        if done:
+            break
+    return centres, inside
+
+
+def _outside(v: DataFrame, dim: int, centres: np.ndarray, near: float, count: int, turn: int) -> np.ndarray:
+    """About OUTSIDE of the ``count`` rows that no centre is near, by hash."""
+    share = min(1.0, OUTSIDE / max(count, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = matrix(b.column(1), dim)
+            drawn = mix(np.asarray(b.column(0)).view(np.uint64) + np.uint64(101 + turn)) / 2.0**64 < share
+            hit = np.flatnonzero(drawn)
+            if len(centres):
+                hit = hit[(x[hit] @ centres.T).max(1) < near]
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(hit))], ["vec"])
+
+    got = [np.frombuffer(r["vec"], np.float32) for r in v.select("key", "vec").mapInArrow(run, "vec binary").collect()]
+    return np.array(sorted(got, key=lambda a: a.tobytes()), np.float32).reshape(-1, dim)
 
 
 def fit(v: DataFrame, dim: int, near: float, far: float, share: float, least: int) -> tuple[np.ndarray, int]:
@@ -135,24 +186,24 @@ def fit(v: DataFrame, dim: int, near: float, far: float, share: float, least: in
         if len(new):
             seeds = np.concatenate([seeds, new])
     weight, _ = _sums(v, dim, seeds, -2.0, None)
-    # twice as many centres as there can be clusters: the rest catches strays
-    centres = _condense(seeds, weight, int(2 / share))
     floor = max(least, share * n)
-    for turn in range(12):
-        strict = turn >= 2
-        size, s = _sums(v, dim, centres, near if strict else near - 0.1, far if strict else None)
-        keep = size >= (floor if turn >= 4 else max(least, floor / 4))
-        moved = unit(s[keep]).astype(np.float32)
-        merged: list[int] = []
-        for i in np.argsort(-size[keep], kind="stable"):
-            if not merged or (moved[merged] @ moved[i]).max() < 0.8:
-                merged.append(int(i))
-        still = keep.all() and len(merged) == len(centres)
-        new = moved[sorted(merged)]
-        done = strict and turn >= 5 and still and (np.einsum("ij,ij->i", new, centres) > 1 - 1e-6).all()
-        centres = new
-        if done or not len(centres):
+    # twice as many centres as there can be clusters: the rest catches strays
+    start, _ = _condense(seeds, weight, int(2 / share), far)
+    centres, inside = _refine(v, dim, start, near, far, floor, least)
+    # seed again among the rows outside, until they hold no cluster any more
+    turn = 0
+    while n - inside >= floor:
+        out = _outside(v, dim, centres, near, n - inside, turn)
+        if not len(out):
+            break
+        tops, mass = _condense(out, np.full(len(out), (n - inside) / len(out), np.float32), int(2 / share), far)
+        tops = tops[mass >= floor / 2]
+        if not len(tops):
+            break
+        more, held = _refine(v, dim, np.concatenate([centres, tops]), near, far, floor, least)
+        if len(more) <= len(centres):
             break
+        centres, inside, turn = more, held, turn + 1
     return centres, n
 
 
