@@ -82,13 +82,23 @@ def test_close_directions_small_clusters_and_lost_seeds(spark, monkeypatch, lost
     assert len(sizes) == 3 and np.abs(np.array(sizes) - np.sort(want)).max() <= 12
 
 
-def test_scan_equals_brute_force():
-    x, _ = planted(3)
+def test_scan_abandons_and_still_finds():
+    x, _ = planted(3, 8, 700, 400)
+    x = np.concatenate([x, x[:300] + np.random.RandomState(0).normal(size=(300, 64)) * 0.02 * np.linalg.norm(x[:300], axis=1, keepdims=True)])
     u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-    best, score = knn.scan(u @ knn.rotation(64), u @ knn.rotation(64), 5, np.arange(len(u)))
+    lists = knn.Lists(knn.spherical_kmeans(u[:1000], 8), np.zeros(8, np.int64))
+    lists.held, lists.need = np.full(8, 700), 3000
+    home, probes = lists.probed(u, np.arange(8))
+    every = np.ones(len(u), bool)
+    rows, best, score, done, whole = knn.scan_lists(u @ knn.rotation(64), home, every, every, probes, 5)
     want, s = brute(u.astype(float))
-    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(best, want)]) > 0.98
-    assert np.allclose(score[:, 0], s.max(1), atol=1e-5)
+    assert (rows == np.arange(len(u))).all() and not (best == rows[:, None]).any()
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(best, want)]) > 0.95
+    assert np.allclose(score, np.take_along_axis(s, best, 1), atol=1e-5)
+    assert done < 0.5 * whole
+    # pairs of SURE and above are kept whatever the bound
+    close = [(i, j) for i in range(len(u)) for j in want[i] if s[i, j] >= 0.95]
+    assert len(close) >= 600 and all(j in best[i] for i, j in close)
 
 
 @pytest.mark.parametrize("tile", [16_384, 64])

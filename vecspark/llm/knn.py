@@ -8,12 +8,14 @@ of at least ``SURE`` lies in another list.  Where these lists hold few members,
 probes the next ones, too, until they hold enough.  Neighbouring lists form groups; a
 vector is sent once to a group, not once to each list of it that it probes.
 
-Vectors are rotated at random, so that any
-block of dimensions estimates the whole distance; within a list, blocks of
-queries are compared with all members dimension block by block, and after each
-block a hypothesis test abandons the candidates whose partial distance is too
-large to be among the k best with any reasonable probability.  Long groups are
-cut into tiles, so a task holds a bounded number of members and queries.
+Vectors are rotated at random, so that any block of dimensions estimates the
+whole distance.  A query scans the list of its nearest centre first, which bounds
+the distance of its k-th best, then the others that it probes.  In a list the
+first block of dimensions is compared with all members, each further one only
+with the candidates of that very query that no hypothesis test has abandoned:
+those whose partial distance lets the whole be below the bound, or be that of a
+cosine of SURE, where the test is far stricter.  Long groups are cut into tiles,
+so a task holds a bounded number of members and queries.
 
 Equal vectors are one entry of the index; a group of copies, however large, is
 expanded only in the final pairs.
@@ -29,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,10 +47,16 @@ GROUP = 8
 #: list is at most acos(SURE) away, so the border between both lists is, too.
 SURE = 0.95
 REACH = (1 - SURE * SURE) ** 0.5
-#: Members and queries of a tile at most, on average, and queries compared at a time.
-TILE, ASKING, _BLOCK = 16_384, 40_960, 512
-#: Dimensions per block, and the test's tolerance.
-STEP, EPS = 16, 2.1
+#: Members and queries of a tile at most, on average.
+TILE, ASKING = 16_384, 40_960
+#: Queries and members compared at a time, and members that give a query without
+#: any bound its first one.
+_QUERIES, _MEMBERS, _FIRST = 512, 1024, 256
+#: Where blocks of dimensions end, as shares of all.
+ENDS = (0.25, 0.4375, 0.6875, 1.0)
+#: Standard deviations of an estimated distance that the test allows for against
+#: the bound, and against the distance of SURE.
+EPS, EPS_SURE = 1.0, 3.0
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -58,69 +65,110 @@ def rotation(dim: int, seed: int = 11) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
-def scan(queries: np.ndarray, members: np.ndarray, k: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The k best members (index, cosine; -1 where there are fewer) of each
-    query; rows are rotated unit vectors.  ``own``: the member equal to each
-    query, which does not count (-1: none)."""
-    nq, dim = queries.shape
-    best = np.full((nq, k), -1, np.int64)
-    score = np.full((nq, k), -2.0, np.float32)
-    if not len(members):
-        return best, score
-    for a in range(0, nq, _BLOCK):
-        q = queries[a : a + _BLOCK]
-        rows = np.arange(len(q))
-        b = best[a : a + _BLOCK]
-        s = score[a : a + _BLOCK]
-        mine = None if own is None else own[a : a + _BLOCK]
-        for m0 in range(0, len(members), 4096):
-            m = members[m0 : m0 + 4096]
-            cols = np.arange(len(m))
-            done = 0
-            dots = np.zeros((len(q), len(m)), np.float32)
-            bound = s.min(1)  # cosine of the k-th best so far
-            while done < dim:
-                step = slice(done, min(done + STEP, dim))
-                dots += q[:, step] @ m[cols, step].T
-                done = step.stop
-                if done == dim or bound.min() <= -2:
-                    continue
-                # partial squared distances against the k-th best distance
-                qn = (q[:, :done] ** 2).sum(1)
-                mn = (m[cols, :done] ** 2).sum(1)
-                share = done / dim
-                limit = (2 - 2 * bound) * share * (1 + EPS / done**0.5) ** 2
-                alive = (dots >= (qn[:, None] + mn[None] - limit[:, None]) / 2).any(0)
-                if alive.mean() < 0.75:  # drop columns that every query abandoned
-                    cols, dots = cols[alive], dots[:, alive]
-                    if not len(cols):
-                        break
-            if not len(cols):
-                continue
-            if mine is not None:
-                at = np.searchsorted(cols, mine - m0)
-                at_ok = np.minimum(at, len(cols) - 1)
-                hit = (mine >= m0) & (mine < m0 + len(m)) & (cols[at_ok] == mine - m0)
-                dots[rows[hit], at_ok[hit]] = -2
-            better = dots > bound[:, None]
-            if bound.min() <= -2 and len(cols) > k:  # nothing to compare with yet
-                part = np.argpartition(-dots, k, axis=1)[:, :k]
-                better = np.zeros_like(better)
-                np.put_along_axis(better, part, True, 1)
-                better &= dots > -2
-            qi, ci = np.nonzero(better)
-            if not len(qi):
-                continue
-            all_q = np.concatenate([np.repeat(rows, k), qi])
-            all_i = np.concatenate([b.reshape(-1), cols[ci] + m0])
-            all_s = np.concatenate([s.reshape(-1), dots[qi, ci]])
-            order = np.lexsort((all_i, -all_s, all_q))
-            all_q, all_i, all_s = all_q[order], all_i[order], all_s[order]
-            first = np.searchsorted(all_q, rows)
-            take = first[:, None] + np.arange(k)[None]
-            b[:] = all_i[take]
-            s[:] = all_s[take]
-    return best, score
+def _merge(best: np.ndarray, score: np.ndarray, rows: np.ndarray, names: np.ndarray, values: np.ndarray) -> None:
+    """Put candidates of ``rows`` (sorted) among their k best; ties by name."""
+    k = best.shape[1]
+    own, start = np.unique(rows, return_index=True)
+    n = np.diff(np.append(start, len(rows))) + k
+    q = np.concatenate([np.repeat(own, k), rows])
+    i = np.concatenate([best[own].reshape(-1), names])
+    v = np.concatenate([score[own].reshape(-1), values])
+    order = np.lexsort((i, -v, q))
+    take = (np.cumsum(n) - n)[:, None] + np.arange(k)
+    best[own], score[own] = i[order][take], v[order][take]
+
+
+class Members:
+    """Rotated unit vectors of a list, cut into blocks of dimensions, and the
+    ``names`` that results call them by."""
+
+    def __init__(self, vectors: np.ndarray, names: np.ndarray):
+        self.vectors, self.names, self.dim = vectors, names, vectors.shape[1]
+        self.ends = [round(e * self.dim) for e in ENDS]
+        self.blocks, self.norms = self.cut(vectors)
+        one = np.ones((len(vectors), 1), np.float32)
+        self.first = np.ascontiguousarray(np.concatenate([self.blocks[0], one, -self.norms[0][:, None] / 2], 1).T)
+
+    def cut(self, x: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Blocks of dimensions, and the squared norms up to each block's end."""
+        blocks = [np.ascontiguousarray(x[:, a:b]) for a, b in zip([0, *self.ends], self.ends)]
+        return blocks, list(np.cumsum([np.einsum("ij,ij->i", b, b) for b in blocks], 0, dtype=np.float32))
+
+    def limit(self, bound: np.ndarray, turn: int) -> np.ndarray:
+        """Partial squared distance up to which a candidate is not abandoned."""
+        done = self.ends[turn]
+        near = (2 - 2 * bound) * (1 + EPS / done**0.5) ** 2
+        return done / self.dim * np.maximum(near, (2 - 2 * SURE) * (1 + EPS_SURE / done**0.5) ** 2)
+
+
+def scan(queries: np.ndarray, members: Members, own: np.ndarray, best: np.ndarray, score: np.ndarray) -> tuple[int, int]:
+    """Bring ``best`` (names, -1 where there are fewer) and ``score`` (cosines)
+    of each query up to date with a list.  ``own``: the name that does not count
+    for each query.  Returns the multiplications done, and those of a full scan."""
+    m, k, count = members, best.shape[1], len(members.vectors)
+    done, whole = 0, len(queries) * count * m.dim
+    for a in range(0, len(queries), _QUERIES):
+        x, mine, b, s = (c[a : a + _QUERIES] for c in (queries, own, best, score))
+        n, at = len(x), 0
+        if (s[:, -1] <= -2).any():  # nothing to compare with yet
+            at = min(_FIRST, count)
+            d = x @ m.vectors[:at].T
+            d[m.names[None, :at] == mine[:, None]] = -2
+            done += d.size * m.dim
+            top = np.argpartition(d, at - min(k, at), axis=1)[:, at - min(k, at) :]
+            v = np.take_along_axis(d, top, 1).reshape(-1)
+            rows, names = np.repeat(np.arange(n), top.shape[1]), m.names[top.reshape(-1)]
+            ok = v > -2
+            _merge(b, s, rows[ok], names[ok], v[ok])
+        blocks, norms = m.cut(x)
+        for m0 in range(at, count, _MEMBERS):
+            m1, bound = min(m0 + _MEMBERS, count), s[:, -1].copy()
+            # the test of the first block is part of its product: a value above
+            # zero is a partial distance within the limit
+            margin = (m.limit(bound, 0) - norms[0]) / 2
+            first = np.concatenate([blocks[0], margin[:, None], np.ones((n, 1))], 1).astype(np.float32)
+            d = (first @ m.first[:, m0:m1]).reshape(-1)
+            done += d.size * first.shape[1]
+            alive = np.flatnonzero(d > 0)
+            q, c = np.divmod(alive, m1 - m0)
+            c += m0
+            v = d[alive] - first[q, -2] + m.norms[0][c] / 2
+            for turn in range(1, len(ENDS)):
+                v += np.einsum("ij,ij->i", blocks[turn].take(q, 0), m.blocks[turn].take(c, 0))
+                done += len(q) * blocks[turn].shape[1]
+                if turn + 1 < len(ENDS):
+                    ok = v - m.norms[turn][c] / 2 >= ((norms[turn] - m.limit(bound, turn)) / 2)[q]
+                else:
+                    ok = (v > bound[q]) & (m.names[c] != mine[q])
+                q, c, v = q[ok], c[ok], v[ok]
+            if len(q):
+                _merge(b, s, q, m.names[c], v)
+    return done, whole
+
+
+def scan_lists(x: np.ndarray, lists: np.ndarray, home: np.ndarray, asks: np.ndarray, probes: np.ndarray,
+               k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(asking rows, rows of their k best, cosines, multiplications done and
+    possible) of rotated unit vectors; rows of one tile.  ``lists``: of each row
+    its list's number; ``home``, ``asks``: rows that are members, and queries;
+    ``probes``: a column per list, whether a row asks it, first those where it
+    is highest."""
+    rows = np.flatnonzero(asks)
+    first = np.where(probes[rows] > 0, probes[rows], -np.inf).argmax(1) if len(rows) else rows
+    best, score = np.full((len(rows), k), -1, np.int64), np.full((len(rows), k), -2.0, np.float32)
+    held = [np.flatnonzero(home & (lists == i)) for i in range(probes.shape[1])]
+    members = [Members(np.ascontiguousarray(x[h]), h) for h in held]
+    done = whole = 0
+    for nearest in (True, False):
+        for i, m in enumerate(members):
+            asking = (probes[rows, i] > 0) & ((first == i) == nearest)
+            # those with and those without a bound are scanned apart
+            for q in (np.flatnonzero(asking & (score[:, -1] > -2)), np.flatnonzero(asking & (score[:, -1] <= -2))):
+                if len(q) and len(m.vectors):
+                    b, s = best[q], score[q]
+                    n, of = scan(np.ascontiguousarray(x[rows[q]]), m, rows[q], b, s)
+                    best[q], score[q], done, whole = b, s, done + n, whole + of
+    return rows, best, score, done, whole
 
 
 class Lists:
@@ -148,9 +196,10 @@ class Lists:
         return out
 
     def probed(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(list that each row belongs to, whether it probes each of ``lists``)."""
+        """(list that each row belongs to, how close each of ``lists`` is that it
+        probes: cosine of its centre plus 2; 0 for those not probed)."""
         home = np.empty(len(x), np.int64)
-        probes = np.empty((len(x), len(lists)), bool)
+        probes = np.empty((len(x), len(lists)), np.float32)
         for i in range(0, len(x), 4096):
             c = x[i : i + 4096] @ self.centres.T
             own = c.argmax(1)
@@ -163,13 +212,13 @@ class Lists:
                 before = np.cumsum(self.held[order], 1) - self.held[order]
                 at, j = np.nonzero(before < self.need)
                 every[few[at], order[at, j]] = True
-            probes[i : i + 4096] = every[:, lists]
+            probes[i : i + 4096] = np.where(every[:, lists], c[:, lists] + 2, 0)
         return home, probes
 
     def grouped(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, group, is home) of every group that rows belong to or probe."""
         home, probes = self.probed(x, self.order)
-        rows, groups = np.nonzero(np.logical_or.reduceat(probes, self.starts, axis=1))
+        rows, groups = np.nonzero(np.logical_or.reduceat(probes > 0, self.starts, axis=1))
         return rows, groups, self.group[home[rows]] == groups
 
 
@@ -259,41 +308,23 @@ class Index:
         tiled = self.tiles(k)
         dim, index = self.dim, self.lists.turned(self.turn)
 
-        def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, dim)
-            cls = pdf["cls"].to_numpy()
-            home, asks = pdf["home"].to_numpy(), pdf["asks"].to_numpy()
-            lists = np.flatnonzero(index.group == pdf["grp"].iloc[0])
+        def tile(rows: pa.Table) -> pa.Table:
+            rows = rows.combine_chunks()
+            cls = rows.column("cls").to_numpy()
+            order = np.argsort(cls, kind="stable")  # ties go to the smaller hash
+            cls, home, asks = cls[order], *(rows.column(c).to_numpy()[order] for c in ("home", "asks"))
+            x = matrix(rows.column("vec").chunk(0), dim)[order]
+            lists = np.flatnonzero(index.group == rows.column("grp")[0].as_py())
             at, probes = index.probed(x, lists)
-            qcls = cls[asks]
-            asked, others, scores = [], [], []
-            for i, one in enumerate(lists):
-                member, query = home & (at == one), np.flatnonzero(probes[asks, i])
-                order = np.argsort(cls[member], kind="stable")
-                mcls, members = cls[member][order], np.ascontiguousarray(x[member][order])
-                if not len(mcls) or not len(query):
-                    continue
-                own = np.searchsorted(mcls, qcls[query])
-                own = np.where(mcls[np.minimum(own, len(mcls) - 1)] == qcls[query], own, -1)
-                best, score = scan(x[asks][query], members, k, own)
-                q, j = np.nonzero(best >= 0)
-                asked.append(query[q])
-                others.append(mcls[best[q, j]])
-                scores.append(score[q, j])
-            if not sum(map(len, asked)):
-                return pd.DataFrame({"cls": cls[:1], "o": [[]], "c": [[]]})
-            q, o, c = np.concatenate(asked), np.concatenate(others), np.concatenate(scores).astype(np.float64)
-            order = np.lexsort((o, -c, q))
-            q, o, c = q[order], o[order], c[order]
-            starts = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))[: len(q)]
-            ends = np.minimum(np.append(starts[1:], len(q)), starts + k)
-            return pd.DataFrame({
-                "cls": qcls[q[starts]],
-                "o": [o[i:j].tolist() for i, j in zip(starts, ends)],
-                "c": [c[i:j].tolist() for i, j in zip(starts, ends)],
-            })
-
-        met = tiled.groupBy("grp", "mt", "qt").applyInPandas(tile, "cls long, o array<long>, c array<double>")
+            asked, best, score, *_ = scan_lists(x, np.searchsorted(lists, at), home, asks, probes, k)
+            n = (best >= 0).sum(1)
+            asked, best, score, n = (c[n > 0] for c in (asked, best, score, n))
+            kept = np.arange(k)[None] < n[:, None]
+            offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+            lists_of = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (cls[best[kept]], score[kept].astype(np.float64))]
+            return pa.table([pa.array(cls[asked]), *lists_of], ["cls", "o", "c"])
+
+        met = tiled.groupBy("grp", "mt", "qt").applyInArrow(tile, "cls long, o array<long>, c array<double>")
         # a query has k entries at most per tile of the groups it probes
         return met.groupBy("cls").agg(
             F.slice(
