@@ -123,6 +123,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     )
 
 
+def join_salted(links: DataFrame, rows: DataFrame, key: str, by: str, total: int, salts: int = 64) -> DataFrame:
+    """Inner join of ``links`` (any number per key) to many ``rows`` per key.
+
+    Keys with more than one in HOT_SHARE of the ``total`` rows (so at most
+    HOT_SHARE keys, which are broadcast) are spread over ``salts`` tasks by a
+    hash of column ``by``; their links are sent to each of these.
+    """
+    limit = max(10_000, total // HOT_SHARE)
+    if total <= limit:
+        return links.join(rows, key)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(write(hot, "hot-keys").df)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = links.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    right = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def python_space() -> str:
     """The characters of ``str.isspace``, for a Java character class."""
     return (
