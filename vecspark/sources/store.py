@@ -3,7 +3,7 @@
 A store is a folder with immutable Parquet parts and numbered version files.
 A version lists, per table, its parts and its removals, each with the number of
 the version that added it.  A commit writes all new parts first and then
-creates the next version file, which fails if another writer was faster; one
+names the next version file, which fails if another writer was faster; one
 version covers all tables, so documents and points never drift apart.
 
 Removals are tables of keys, applied to older parts by an anti-join when a
@@ -65,14 +65,26 @@ class Store:
             stream.close()
         return versions[-1], json.loads(text)
 
+    def ensure(self, part: str) -> None:
+        """Make a part's folder, which a write without rows may not have made."""
+        self._fs.mkdirs(self._path(f"{self.root}/{part}"))
+
     def _publish(self, number: int, tables: dict) -> None:
+        """Write the version aside and give it its name, which fails if it is
+        taken: a reader sees all of a version or nothing."""
         at = self._path(f"{self.root}/_versions/{number:010d}.json")
+        aside = self._path(f"{self.root}/_versions/.{uuid.uuid4().hex}")
+        out = self._fs.create(aside, False)
+        out.write(bytearray(json.dumps(tables, indent=1).encode()))
+        out.close()
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        files = hadoop.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else self._fs.getUri(), sc._jsc.hadoopConfiguration())
         try:
-            out = self._fs.create(at, False)
+            files.rename(aside, at, sc._gateway.new_array(hadoop.Options.Rename, 0))
         except Exception as e:
+            self._fs.delete(aside, False)
             raise Conflict(f"version {number} exists already") from e
-        out.write(bytearray(json.dumps(tables, indent=1).encode()))
-        out.close()
 
     # reading
 
