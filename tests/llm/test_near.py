@@ -91,11 +91,26 @@ def test_groups_and_links(spark):
     assert got == {"a": ("a", 2), "b": ("a", 2), "c": ("a", 2)}
 
 
-def test_broadcast_or_shuffle_give_the_same(spark, monkeypatch):
-    rows = corpus(9, 20)
-    want = sorted(map(tuple, near.found_pairs(frame(spark, rows), threshold=0.6).collect()))
-    monkeypatch.setattr(near, "maybe_broadcast", lambda df, n, limit=0: df)
-    assert sorted(map(tuple, near.found_pairs(frame(spark, rows), threshold=0.6).collect())) == want
+def test_hot_blocks_are_split_and_lose_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    stock = [f"b{i}" for i in range(40)]  # half of every text
+    rows = []
+    for i in range(30):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(36)]
+        rows += [(f"h{i:02d}a", " ".join(stock + own)), (f"h{i:02d}b", " ".join(stock + own[:30]))]
+    rows += corpus(9, 20)
+    want = brute(rows, 0.6)
+    split, monkeypatched = near._split, []
+    monkeypatch.setattr(near, "HOT_BLOCK", 4)
+    monkeypatch.setattr(near, "_split", lambda *a: monkeypatched.append(split(*a)) or monkeypatched[-1])
+    got = [tuple(r) for r in near.found_pairs(frame(spark, rows), threshold=0.6).collect()]
+    assert set(got) == want and len(got) == len(want)
+    # all pairs within the stock's blocks would be 60 * 59 / 2
+    assert 30 <= monkeypatched[0].count() < 200
+
+
+def test_the_hamming_distance_decides():
+    assert near.radius(0.6) < 50 and near.radius(0.8) < 32
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(1, 2), (2, 3), (5, 4), (3, 1)], [(i, i + 1) for i in range(40)]])

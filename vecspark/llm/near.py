@@ -5,11 +5,15 @@ A text's fingerprint is a MinHash signature of its distinct word shingles,
 (1 - s) of them.  The fingerprint is split into BLOCKS blocks: two that differ
 in fewer than BLOCKS components must share a whole block (pigeonhole), and at
 a similarity of 0.6 a pair shares none with a probability of 0.0018.  Texts
-are joined on blocks, fingerprints too far apart in Hamming distance are
-dropped, and what remains is verified on the shingle sets themselves.
+are joined on blocks, pairs whose Hamming distance is beyond what the threshold
+allows for (``radius``) are dropped, and what remains is verified on the shingle
+sets themselves.
 
 Copies (same words, same letters) are one class with one set of blocks, so a
-group of copies costs no pairs; classes expand to rows only at the very end.
+group of copies costs no pairs; classes expand to rows only at the very end.  A
+block that more than HOT_BLOCK classes share is not joined as such: its classes
+are joined on the shingles of theirs that are rarest within the block, of which
+a pair above the threshold has one in common for certain.
 
 Defined cases: null texts and texts of fewer than three words have no
 shingles and are similar to nothing; repeated rows belong to one class; hashes
@@ -24,18 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm import words as W
 from vecspark.llm.components import components
-from vecspark.runtime import maybe_broadcast, write
+from vecspark.runtime import join_salted, maybe_in, write
 
 BLOCKS, WIDTH, SHINGLE = 26, 3, 3
 #: Classes remembered by a task so that copies do not repeat their blocks.
 _SEEN = 200_000
-#: Values in all shingle sets and signatures together that may be broadcast.
-SET_VALUES = 12_000_000
+#: Classes of a block from which on it is split by a second key.
+HOT_BLOCK = 500
 _FIRST_FIELD = re.compile(r"[\W_]*[^\W_]+\s*:")
 _FIELD = re.compile(r"\s*[^\W_]+\s*:.*[^\W_]")
 
@@ -120,15 +124,52 @@ def key_rows(profiles: DataFrame) -> DataFrame:
     )
 
 
-def block_pairs(keys: DataFrame) -> DataFrame:
-    """Distinct (cls_a, cls_b), cls_a < cls_b, of classes that share a key."""
-    a = keys.select("key", F.col("cls").alias("cls_a"))
-    b = keys.select("key", F.col("cls").alias("cls_b"))
-    return a.join(b, "key").where("cls_a < cls_b").select("cls_a", "cls_b").distinct()
+#: What (profiles, table, id column, text column) of some classes are.
+Source = tuple[DataFrame, DataFrame, str, str]
+
+
+def block_pairs(keys: DataFrame, sources: list[Source], threshold: float) -> DataFrame:
+    """Distinct (cls_a, cls_b), cls_a < cls_b, of classes that share a key.
+
+    ``keys``: (key, cls, new); a pair needs a side that is ``new``.  Blocks of
+    more than HOT_BLOCK classes leave as they are and are split by ``_split``.
+    """
+    sized = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    cold = sized.where(F.col("n") <= HOT_BLOCK)
+    pairs = _joined(cold, ["key"]).withColumn("key", F.lit(None).cast("long"))
+    hot = sized.where(F.col("n") > HOT_BLOCK).select(F.col("cls").alias("cls_a"), F.when(F.col("new"), F.col("cls")).alias("cls_b"), "key")
+    met = write(pairs.unionByName(hot), "near-blocks").df
+    pairs = met.where("key is null").drop("key")
+    blocks = met.where("key is not null").select("key", F.col("cls_a").alias("cls"), F.col("cls_b").isNotNull().alias("new"))
+    if not blocks.limit(1).count():
+        return pairs
+    return pairs.unionByName(_split(blocks, sources, threshold)).distinct()
+
+
+def _joined(rows: DataFrame, on: list[str]) -> DataFrame:
+    a = rows.select(*on, F.col("cls").alias("cls_a"), F.col("new").alias("new_a"))
+    b = rows.select(*on, F.col("cls").alias("cls_b"), F.col("new").alias("new_b"))
+    return a.join(b, on).where("cls_a < cls_b and (new_a or new_b)").select("cls_a", "cls_b").distinct()
+
+
+def _split(blocks: DataFrame, sources: list[Source], threshold: float) -> DataFrame:
+    """Pairs within hot ``blocks`` (key, cls, new), with none above the
+    threshold missing: of n shingles, two similar classes have one in common
+    among the n - ceil(threshold * n) + 1 that come first in any order; here,
+    the rarest within the block."""
+    sets = _class_sets(blocks.select("cls").distinct(), sources).select("cls", "shingles", "size")
+    terms = write(
+        blocks.join(sets, "cls").select("key", "cls", "new", "size", F.explode("shingles").alias("g")), "near-terms"
+    ).df
+    counts = terms.groupBy("key", "g").agg(F.count(F.lit(1)).alias("uses"))
+    rank = F.row_number().over(Window.partitionBy("key", "cls").orderBy("uses", "g"))
+    first = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    rare = terms.join(counts, ["key", "g"]).withColumn("rank", rank).where((F.col("rank") <= first) & (F.col("uses") > 1))
+    return _joined(rare, ["key", "g"])
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(cls, sig, shingles) of (cls, text)."""
+    """(cls, sig, shingles, in_order, as_card) of (cls, text, in_order, as_card)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,14 +183,16 @@ def _sets(texts: DataFrame) -> DataFrame:
                         part.column(0),
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BLOCKS * WIDTH)),
-                            pa.array(sig.reshape(-1).view(np.int32)),
+                            pa.array(sig.reshape(-1).astype(np.uint16).view(np.int16)),
                         ),
                         pa.ListArray.from_arrays(pa.array(ends), _signed(h)),
+                        part.column(2),
+                        part.column(3),
                     ],
-                    ["cls", "sig", "shingles"],
+                    ["cls", "sig", "shingles", "in_order", "as_card"],
                 )
 
-    return texts.mapInArrow(run, "cls long, sig array<int>, shingles array<long>")
+    return texts.mapInArrow(run, "cls long, sig array<short>, shingles array<long>, in_order long, as_card long")
 
 
 def same_form(a: str, b: str) -> Column:
@@ -160,37 +203,33 @@ def same_form(a: str, b: str) -> Column:
     ).otherwise(F.col(f"{a}in_order") == F.col(f"{b}in_order"))
 
 
-def far_apart(threshold: float) -> int:
-    """Hamming distance that a pair of at least ``threshold`` does not exceed:
-    the mean plus six standard deviations."""
+def radius(threshold: float) -> int:
+    """Hamming distance up to which fingerprints may belong to a pair of at
+    least ``threshold``: the mean plus four standard deviations."""
     k = BLOCKS * WIDTH
-    return int(k * (1 - threshold) + 6 * (k * threshold * (1 - threshold)) ** 0.5) + 1
+    return int(k * (1 - threshold) + 4 * (k * threshold * (1 - threshold)) ** 0.5) + 1
 
 
-def class_sets(pairs: DataFrame, sources: list[tuple[DataFrame, DataFrame, str, str]]) -> DataFrame:
-    """(cls, sig, shingles, in_order, as_card, size) of the classes in ``pairs``.
-
-    ``sources``: (profiles, table, id column, text column) of all classes.
-    Only one text per class that occurs in a pair is read again.
-    """
-    wanted = write(
-        pairs.select(F.col("cls_a").alias("cls")).unionByName(pairs.select(F.col("cls_b").alias("cls"))).distinct(),
-        "near-classes",
+def class_sets(pairs: DataFrame, sources: list[Source]) -> DataFrame:
+    """(cls, sig, shingles, in_order, as_card, size) of the classes in ``pairs``."""
+    return _class_sets(
+        pairs.select(F.col("cls_a").alias("cls")).unionByName(pairs.select(F.col("cls_b").alias("cls"))).distinct(), sources
     )
-    n = wanted.df.count()
+
+
+def _class_sets(classes: DataFrame, sources: list[Source]) -> DataFrame:
+    """Only one text per class is read again; a bitmap of their ids keeps most
+    others out of the shuffle."""
+    wanted = write(classes, "near-classes").df
     sets = None
     for profiles, table, id_col, text_col in sources:
         reps = write(
-            profiles.select("id", "cls", "in_order", "as_card")
-            .join(maybe_broadcast(wanted.df, n), "cls")
-            .groupBy("cls", "in_order", "as_card")
-            .agg(F.min("id").alias("id")),
+            profiles.select("id", "cls", "in_order", "as_card").join(wanted, "cls")
+            .groupBy("cls", "in_order", "as_card").agg(F.min("id").alias("id")),
             "near-texts",
         ).df
-        texts = table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-            maybe_broadcast(reps.select("id", "cls"), n, 500_000), "id"
-        )
-        own = _sets(texts.select("cls", "text")).join(maybe_broadcast(reps.drop("id"), n), "cls")
+        texts = maybe_in(table.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), reps, "id").join(reps, "id")
+        own = _sets(texts.select("cls", "text", "in_order", "as_card"))
         sets = own if sets is None else sets.unionByName(own)
     # a class may be in several sources, a row several times in one
     sets = sets.dropDuplicates(["cls"])
@@ -220,24 +259,15 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float, form_too: bool
     ``sets``: of their classes, see ``class_sets``.  ``form_too`` also keeps
     pairs of the same form below the threshold.
     """
-    # what a broadcast of all sets would hold: their number does not bound it
-    held = sets.agg(F.coalesce(F.sum(F.size("shingles") + BLOCKS * WIDTH), F.lit(0))).first()[0]
-
-    def sides(rows: DataFrame, *cols: str) -> DataFrame:
-        for x in ("a", "b"):
-            own = sets.select(F.col("cls").alias(f"cls_{x}"), *(F.col(c).alias(f"{x}_{c}") for c in cols))
-            rows = rows.join(maybe_broadcast(own, held, SET_VALUES), f"cls_{x}")
-        return rows
-
-    # fingerprints and forms first; only what they leave meets the sets
+    for x in ("a", "b"):
+        own = sets.select(F.col("cls").alias(f"cls_{x}"), *(F.col(c).alias(f"{x}_{c}") for c in ("sig", "shingles", "size", "in_order", "as_card")))
+        pairs = pairs.join(own, f"cls_{x}")
+    # the fingerprints decide which pairs' shingle sets are compared
     distance = F.size(F.filter(F.zip_with("a_sig", "b_sig", lambda x, y: x != y), lambda x: x))
     some = (F.col("a_size") > 0) & (F.col("b_size") > 0)
-    met = sides(pairs, "sig", "size", "in_order", "as_card").select(
-        "cls_a", "cls_b", same_form("a_", "b_").alias("same_form"),
-        F.coalesce(some & (distance <= far_apart(threshold)), F.lit(False)).alias("near"),
-    )
-    met = sides(met.where("near or same_form" if form_too else "near and not same_form"), "shingles")
-    met = _similarity(met)
+    met = pairs.withColumn("same_form", same_form("a_", "b_"))
+    near = F.coalesce(some & (distance <= radius(threshold)), F.lit(False))
+    met = _similarity(met.where(near | F.col("same_form") if form_too else near & ~F.col("same_form")))
     enough = F.col("similarity") >= threshold - 1e-12
     return met.where(enough | F.col("same_form") if form_too else enough).select(
         "cls_a", "cls_b", "similarity", "same_form"
@@ -249,8 +279,9 @@ def class_links(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.
     links (cls_a, cls_b, similarity) between classes of different form."""
     table = df.where(F.col(text_col).isNotNull())
     profiles = write(profile(table, id_col, text_col), "near-profiles").df
-    pairs = write(block_pairs(key_rows(profiles)), "near-pairs").df
-    sets = class_sets(pairs, [(profiles, table, id_col, text_col)])
+    sources = [(profiles, table, id_col, text_col)]
+    pairs = write(block_pairs(key_rows(profiles).withColumn("new", F.lit(True)), sources, threshold), "near-pairs").df
+    sets = class_sets(pairs, sources)
     links = write(verified(pairs, sets, threshold, False), "near-links").df
     return profiles.select("id", "cls"), links
 
@@ -260,10 +291,12 @@ def found_pairs(df: DataFrame, id_col: str = "document_id", text_col: str = "con
     """(document_id_a, document_id_b): similar rows of different form."""
     members, links = class_links(df, id_col, text_col, threshold)
     members = members.distinct()
+    total = members.count()
     a = members.select(F.col("id").alias("x"), F.col("cls").alias("cls_a"))
     b = members.select(F.col("id").alias("y"), F.col("cls").alias("cls_b"))
+    met = join_salted(links.select("cls_a", "cls_b"), a, "cls_a", "x", total)
     return (
-        links.select("cls_a", "cls_b").join(a, "cls_a").join(b, "cls_b").where("x <> y")
+        join_salted(met, b, "cls_b", "y", total).where("x <> y")
         .select(F.least("x", "y").alias("document_id_a"), F.greatest("x", "y").alias("document_id_b"))
     )
 
