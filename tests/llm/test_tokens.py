@@ -69,7 +69,7 @@ def test_walk_is_exact_on_sorted_pieces(v):
 
 @pytest.mark.parametrize("limit", [0, 10**6])
 def test_budget(spark, v, monkeypatch, limit):
-    monkeypatch.setattr(budget, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(budget, "OFTEN", limit)
     texts = [*NASTY, *[t[:700] for t in longs()], None, "the the the"]
     meta = ['{"lang": "EN-us", "domain": " Health "}', '{"lang": "", "x": 1}', "broken{", None, '{"lang": "deutsch"}']
     rows = [(f"d{i}", t, ["s1", "s2", None][i % 3], meta[i % 5], 0, "x") for i, t in enumerate(texts)]
@@ -124,3 +124,14 @@ def test_packing(spark):
     assert packing.pack(items.limit(0), "doc_id", "n").count() == 0
     again = packing.pack(items.repartition(7), "doc_id", "n").collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_open_containers_of_many_shards_are_packed_again(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 60)
+    items = spark.createDataFrame([(i, 37 + (i * 7919) % 700) for i in range(600)] + [(900, 5000)], "id long, n int")
+    got = packing.pack(items, "id", "n", 2048).collect()
+    assert len(got) == 603 and len({(r["id"], r["part_no"]) for r in got}) == 603
+    used = {}
+    for r in got:
+        used[r["container_id"]] = used.get(r["container_id"], 0) + r["size"]
+    assert max(used.values()) <= 2048 and sum(used.values()) / len(used) / 2048 > 0.94

@@ -23,7 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.tokens import Bpe, bpe, default_vocabulary
-from vecspark.runtime import BROADCAST_ROWS, HOT_SHARE, python_space, write
+from vecspark.runtime import python_space, write
+
+#: Distinct pieces, the most frequent ones of up to 64 letters, that are broadcast.
+OFTEN = 500_000
 
 _WS = r"\u0009-\u000d\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The tokenizer's pattern with white space spelt out for Java.
@@ -108,21 +111,20 @@ def document_tokens(df: DataFrame, keep: list[str], text_col: str, vocabulary: s
     )
     seen = write(cut.groupBy("piece").agg(F.count(F.lit(1)).alias("uses")), "pieces").df
     counts = write(piece_tokens(seen.select("piece"), path).join(seen, "piece"), "piece-tokens").df
-    n, uses, letters = counts.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum("uses"), F.lit(0)), F.coalesce(F.sum(F.length("piece")), F.lit(0))
-    ).first()
-    if n <= BROADCAST_ROWS and letters <= 16 * BROADCAST_ROWS:
-        met = cut.join(F.broadcast(counts.select("piece", "n")), "piece")
-        return met.groupBy(*keep).agg(F.sum("n").cast("long").alias("tokens"))
-    # Too many distinct pieces to broadcast.  The few that make up most of a
-    # text are still bounded in number; all others meet in a shuffle join.
-    hot = counts.where((F.col("uses") > uses // (20 * HOT_SHARE)) & (F.length("piece") <= 64)).select("piece", "n")
-    often = cut.join(F.broadcast(hot), "piece").groupBy(*keep).agg(F.sum("n").alias("n"))
-    seldom = (
-        cut.join(F.broadcast(hot), "piece", "left_anti").join(counts.select("piece", "n"), "piece")
-        .groupBy(*keep).agg(F.sum("n").alias("n"))
+    # the pieces that make up most of a text are few: a bounded number of short
+    # ones is broadcast, and rows of all others meet in a shuffle join
+    often = counts.where(F.length("piece") <= 64).orderBy(F.desc("uses"), "piece").limit(OFTEN).select("piece", "n")
+    often = F.broadcast(write(often.withColumn("often", F.lit(True)), "piece-often").df)
+    met = cut.join(often, "piece", "left")
+    here = met.groupBy(*keep).agg(
+        F.sum("n").alias("n"), F.collect_list(F.when(F.col("often").isNull(), F.col("piece"))).alias("rest")
+    )
+    here = write(here, "piece-sums").df
+    rest = here.where(F.size("rest") > 0).select(*keep, F.explode("rest").alias("piece")).join(counts.select("piece", "n"), "piece")
+    return (
+        here.select(*keep, "n").unionByName(rest.select(*keep, "n"))
+        .groupBy(*keep).agg(F.sum("n").cast("long").alias("tokens"))
     )
-    return often.unionByName(seldom).groupBy(*keep).agg(F.sum("n").cast("long").alias("tokens"))
 
 
 def _clean(c: Column) -> Column:
@@ -130,25 +132,23 @@ def _clean(c: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(c, f"^[{ws}]+|[{ws}]+$", "")), F.lit(""))
 
 
-def language(c: Column) -> Column:
-    """Language code of the many spellings; null where there is none."""
-    head = F.split(_clean(c), "[-_]")[0]
-    for code, names in LANGUAGES.items():
-        head = F.when(head.isin(names), F.lit(code)).otherwise(head)
-    return F.when(~head.isin("und", "unknown", "null", "none"), head)
+def language(df: DataFrame, column: str, spelt: Column) -> DataFrame:
+    """``df`` with the language code of many spellings; null where there is none."""
+    head = F.split(_clean(spelt), "[-_]")[0]
+    codes = F.create_map(*(F.lit(x) for code, names in LANGUAGES.items() for n in names for x in (n, code)))
+    df = df.withColumn("_head", head)
+    known = F.coalesce(F.try_element_at(codes, F.coalesce("_head", F.lit(""))), F.col("_head"))
+    return df.withColumn(column, F.when(~F.col("_head").isin("und", "unknown", "null", "none"), known)).drop("_head")
 
 
 def token_budget(store: DataFrame, sources: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(source_id, language, domain, documents, tokens)."""
     own = store.select(
-        F.col("document_id").alias("id"),
-        F.col("source_id"),
-        language(F.get_json_object("metadata", "$.lang")).alias("own_lang"),
-        _clean(F.get_json_object("metadata", "$.domain")).alias("own_domain"),
-    )
-    listed = sources.groupBy(F.col("source_id").alias("listed_id")).agg(
-        F.min(language(F.col("default_lang"))).alias("listed_lang"),
-        F.min(_clean(F.col("source_domain"))).alias("listed_domain"),
+        F.col("document_id").alias("id"), F.col("source_id"), F.json_tuple("metadata", "lang", "domain").alias("_lang", "_domain")
+    ).withColumn("own_domain", _clean(F.col("_domain")))
+    own = language(own, "own_lang", F.col("_lang"))
+    listed = language(sources, "_lang", F.col("default_lang")).groupBy(F.col("source_id").alias("listed_id")).agg(
+        F.min("_lang").alias("listed_lang"), F.min(_clean(F.col("source_domain"))).alias("listed_domain"),
     )
     placed = own.join(listed, F.col("source_id") == F.col("listed_id"), "left").select(
         "id", "source_id",

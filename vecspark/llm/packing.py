@@ -3,7 +3,9 @@
 Parts of items are spread over shards of bounded size by a hash.  Within a shard each item goes where the sum over residual gaps of the squared number of
 open containers with that gap becomes smallest, which keeps gaps balanced so
 that later items find a fit.  Only items above the capacity are split: their
-full parts are containers of their own, the rest is packed.
+full parts are containers of their own, the rest is packed.  What containers that
+are still open at the end of their shard hold is packed again, in as many fewer
+shards, so that the number of open containers does not grow with the shards.
 
 Defined cases: null, empty and zero-size items are left out; ties go to the
 smallest remaining gap, then to the container opened last; repeated rows are
@@ -71,24 +73,42 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = 2048) ->
                 lambda k: F.least(F.lit(capacity).cast("long"), F.col("n") - k * capacity),
             )
         ).alias("part_no", "size"),
-    ).withColumn("shard", F.pmod(F.xxhash64("id", "part_no"), F.lit(shards)).cast("int"))
+    )
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "part_no"], kind="stable")
-        where, _ = sum_of_squares(pdf["size"].to_numpy(), capacity)
+        size = pdf["size"].to_numpy()
+        where, bins = sum_of_squares(size, capacity)
+        used = np.bincount(where, size, bins)
         return pd.DataFrame(
             {
                 "id": pdf["id"],
                 "part_no": pdf["part_no"],
-                "container_id": (np.int64(key[0]) << np.int64(32)) + where,
+                "container_id": (np.int64(key[1]) << np.int64(56)) + (np.int64(key[0]) << np.int64(28)) + where,
                 "start": pdf["part_no"].astype("int64") * capacity,
-                "size": pdf["size"],
+                "size": size,
+                "open": used[where] < capacity,
             }
         )
 
-    return parts.groupBy("shard").applyInPandas(
-        run, f"id {id_type}, part_no int, container_id long, start long, size long"
-    )
+    shape = f"id {id_type}, part_no int, container_id long, start long, size long"
+    columns = ["id", "part_no", "container_id", "start", "size"]
+    packed = None
+    for turn in range(128):
+        # one task per shard: each runs a sequential loop, which AQE would merge
+        sharded = parts.withColumns({
+            "shard": F.pmod(F.xxhash64("id", "part_no"), F.lit(shards)).cast("int"), "turn": F.lit(turn)
+        }).repartition(shards, "shard", "turn")
+        out = write(sharded.groupBy("shard", "turn").applyInPandas(run, f"{shape}, open boolean"), "packed").df
+        left = out.where("open")
+        fewer = -(-left.count() // SHARD_ITEMS) if shards > 1 else shards
+        again = fewer < shards
+        done = (out.where("not open") if again else out).select(*columns)
+        packed = done if packed is None else packed.unionByName(done)
+        if not again:
+            break
+        parts, shards = left.select("id", "part_no", "size"), max(1, fewer)
+    return packed
 
 
 def pack_texts(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048,
