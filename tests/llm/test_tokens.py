@@ -127,11 +127,15 @@ def test_packing(spark):
 
 
 def test_open_containers_of_many_shards_are_packed_again(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_ITEMS", 60)
-    items = spark.createDataFrame([(i, 37 + (i * 7919) % 700) for i in range(600)] + [(900, 5000)], "id long, n int")
-    got = packing.pack(items, "id", "n", 2048).collect()
-    assert len(got) == 603 and len({(r["id"], r["part_no"]) for r in got}) == 603
-    used = {}
-    for r in got:
-        used[r["container_id"]] = used.get(r["container_id"], 0) + r["size"]
-    assert max(used.values()) <= 2048 and sum(used.values()) / len(used) / 2048 > 0.94
+    items = spark.createDataFrame([(i, 37 + (i * 7919) % 700) for i in range(4000)] + [(9000, 5000)], "id long, n int")
+    counts = []
+    for size in (10**6, 500):
+        monkeypatch.setattr(packing, "SHARD_ITEMS", size)
+        got = packing.pack(items, "id", "n", 2048).collect()
+        assert len(got) == 4003 and len({(r["id"], r["part_no"]) for r in got}) == 4003
+        used = {}
+        for r in got:
+            used[r["container_id"]] = used.get(r["container_id"], 0) + r["size"]
+        assert max(used.values()) <= 2048
+        counts.append(len(used))
+    assert counts[1] <= counts[0] * 1.01
