@@ -39,7 +39,7 @@ def test_orphans_use_up_places_and_structs_keep_both_sides(spark):
 
 @pytest.mark.parametrize("at_once", [4096, 3])
 def test_batch_equals_single(spark, monkeypatch, at_once):
-    monkeypatch.setattr(search, "QUERIES_AT_ONCE", at_once)
+    monkeypatch.setattr(search, "QUERY_ELEMENTS", at_once * 8)
     rng = np.random.RandomState(0)
     x = rng.normal(size=(120, 8))
     rows = [(f"p{i:03d}", "d", [float(v) for v in r], "x") for i, r in enumerate(x)]

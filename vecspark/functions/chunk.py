@@ -84,6 +84,9 @@ def chunk_documents(docs: DataFrame, *, lines: int = 20, tokens: int = 500,
                 {"content": c, "total_tokens": count(c)} for c in split_text(t, lines, tokens, count) if c.strip()
             ])
 
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < tasks:  # few files: their texts are spread over all cores
+        docs = docs.repartition(tasks)
     cut = docs.where(~text.is_blank(F.col("content"))).withColumn("_chunks", chunks("content"))
     cut = cut.select("*", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_at", "_chunk"))
     source = F.col("document_id") if link_parent else F.col("source_id")

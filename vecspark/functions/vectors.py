@@ -9,7 +9,8 @@ from __future__ import annotations
 import base64
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,22 +64,33 @@ def decode_base64(text: str) -> list[float]:
     return np.frombuffer(raw, "<f4").astype(float).tolist()
 
 
-@F.pandas_udf(T.StringType())
-def vector_to_base64(v: pd.Series) -> pd.Series:
-    return v.map(lambda x: None if x is None else encode_base64(x))
+@F.arrow_udf(T.BinaryType())
+def _packed(v: pa.Array) -> pa.Array:
+    """The bytes of each list of floats, taken over as they are."""
+    n, values = len(v), v.flatten()
+    sizes = np.asarray(v.value_lengths().fill_null(0))
+    data = values.to_numpy(zero_copy_only=False).astype("<f4")
+    offsets = np.concatenate(([0], np.cumsum(sizes))) * 4
+    mask = pa.array(np.asarray(v.is_valid())) if v.null_count else None
+    valid = mask.buffers()[1] if mask is not None else None
+    return pa.Array.from_buffers(pa.binary(), n, [valid, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-def base64_to_vector(c: Column) -> Column:
-    """array<float> of a base64 column; null where it does not decode."""
-    return _base64_to_vector(c)
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _unpacked(c: pa.Array) -> pa.Array:
+    """The lists of floats in binary values of whole floats."""
+    sizes = np.asarray(pc.binary_length(c).fill_null(0))
+    data = np.frombuffer(b"".join(x for x in c.to_pylist() if x), "<f4")
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes // 4))).astype(np.int32), mask=np.append(~np.asarray(c.is_valid()), False))
+    return pa.ListArray.from_arrays(offsets, pa.array(data))
+
 
+def vector_to_base64(v: Column) -> Column:
+    """Base64 of little-endian float32; null for null."""
+    return F.base64(_packed(v.cast("array<float>")))
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _base64_to_vector(c: pd.Series) -> pd.Series:
-    def one(x: str | None) -> list[float] | None:
-        try:
-            return None if x is None else decode_base64(x)
-        except ValueError:
-            return None
 
-    return c.map(one)
+def base64_to_vector(c: Column) -> Column:
+    """array<float> of a base64 column; null where it does not decode."""
+    raw = F.try_to_binary(c, F.lit("base64"))
+    return _unpacked(F.when(F.length(raw) % 4 == 0, raw))

@@ -29,23 +29,22 @@ def point_millis(point_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
-def _child(df: DataFrame, table: str, field: str, row_key: str, key: str, millis: Column) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).select(
-        F.lit(table).alias("ref_table"),
-        F.lit(field).alias("ref_field"),
-        F.col(row_key).alias("row_key"),
-        normal_key(F.col(key)).alias("key"),
-        millis.alias("ms"),
+def _references(df: DataFrame, table: str, row_key: str, millis: Column, *fields: str) -> DataFrame:
+    """One row per reference: all of a row's come from one reading of it."""
+    each = F.explode(F.array(*(F.struct(F.lit(f).alias("ref_field"), normal_key(F.col(f)).alias("key")) for f in fields)))
+    return (
+        df.select(F.lit(table).alias("ref_table"), F.col(row_key).alias("row_key"), millis.cast("double").alias("ms"), each.alias("r"))
+        .where("r.key is not null").select("ref_table", "r.ref_field", "row_key", "r.key", "ms")
     )
 
 
-def _parent(df: DataFrame, field: str, key: str, flag: str, created: Column | None = None) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).select(
-        F.lit(field).alias("ref_field"),
-        normal_key(F.col(key)).alias("key"),
-        F.lit(flag).alias("tag"),
-        (created if created is not None else F.lit(None).cast("long")).alias("created_ms"),
-    )
+def _parents(df: DataFrame, flag: str, **created: Column) -> DataFrame:
+    """Keys of the given fields, with the time from which they exist."""
+    each = F.explode(F.array(*(
+        F.struct(F.lit(f).alias("ref_field"), normal_key(F.col(f)).alias("key"), at.cast("long").alias("created_ms"))
+        for f, at in created.items()
+    )))
+    return df.select(each.alias("r"), F.lit(flag).alias("tag")).where("r.key is not null").select("r.ref_field", "r.key", "tag", "r.created_ms")
 
 
 def orphan_references(
@@ -57,22 +56,15 @@ def orphan_references(
 ) -> DataFrame:
     """One row per reference without a (timely) counterpart in ``store``:
     (ref_table, ref_field, row_key, ref_status, year_month)."""
-    children = (
-        _child(points, "points", "document_id", "point_id", "document_id", point_millis(F.col("point_id")))
-        .unionByName(
-            _child(points, "points", "content_md5", "point_id", "content_md5", point_millis(F.col("point_id")))
-        )
-        .unionByName(
-            _child(results, "search_results", "document_id", "result_id", "document_id",
-                   (F.unix_micros(F.col("searched_at").cast("timestamp")) / 1000).cast("double"))
-        )
-        .withColumn("ms", F.col("ms").cast("double"))
-    )
+    searched = F.unix_micros(F.col("searched_at").cast("timestamp")) / 1000
+    children = _references(
+        points, "points", "point_id", point_millis(F.col("point_id")), "document_id", "content_md5"
+    ).unionByName(_references(results, "search_results", "result_id", searched, "document_id"))
+    never = F.lit(None)
     parents = (
-        _parent(store, "document_id", "document_id", "store", F.col("created_at").cast("long") * 1000)
-        .unionByName(_parent(store, "content_md5", "content_md5", "store"))
-        .unionByName(_parent(removed, "document_id", "document_id", "removed"))
-        .unionByName(_parent(incoming, "document_id", "document_id", "incoming"))
+        _parents(store, "store", document_id=F.col("created_at").cast("long") * 1000, content_md5=never)
+        .unionByName(_parents(removed, "removed", document_id=never))
+        .unionByName(_parents(incoming, "incoming", document_id=never))
     )
     long = children.select(
         "ref_field", "key", F.lit("child").alias("tag"), F.lit(None).cast("long").alias("created_ms"), "ms"

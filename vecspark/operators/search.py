@@ -4,8 +4,9 @@ One query: a JVM expression, a top-k that each task applies to its own rows
 (TakeOrderedAndProject), then a join of the k rows to the documents.  The limit
 comes before the join, so points without a document use up places.
 
-Many queries: points are scanned once; every task multiplies its points by
-blocks of queries, keeps its own k best per query and only those are shuffled.
+Many queries: points are scanned once for as many queries as a task can hold;
+every task multiplies its points by blocks of queries, carries its own k best per
+query through all of its batches, and only those are shuffled.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from vecspark.functions import vectors
 
-#: Query vectors that are held by every task at a time.
-QUERIES_AT_ONCE = 4096
+#: Elements of query vectors that are held by every task at a time.
+QUERY_ELEMENTS = 1 << 22
 
 
 def top_k(points: DataFrame, vector: list[float], k: int, *, id_col: str = "point_id",
@@ -52,6 +55,37 @@ def search(points: DataFrame, documents: DataFrame, vector: list[float], k: int,
     )
 
 
+class _Best:
+    """The best points of every query that one task has seen; a point that
+    comes twice counts once, ties go to the smaller id."""
+
+    def __init__(self, ks: np.ndarray):
+        self.ks, self.bound = ks, np.full(len(ks), -np.inf)
+        self.frame, self.new, self.rows = None, [], 0
+
+    def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of the queries from ``first`` on with points ``ids``."""
+        q, i = np.nonzero(scores >= self.bound[first : first + len(scores), None])
+        if len(q):
+            self.new.append(pd.DataFrame({"q": q + first, "id": ids[i], "s": scores[q, i]}))
+            self.rows += len(q)
+            if self.rows > 1 << 20:
+                self.kept()
+
+    def kept(self) -> pd.DataFrame:
+        parts = [*([] if self.frame is None else [self.frame]), *self.new]
+        every = pd.concat(parts) if parts else pd.DataFrame({"q": np.empty(0, np.int64), "id": [], "s": np.empty(0)})
+        every["r"] = -every["s"].round(9)
+        every = every.sort_values(["q", "r", "id"], kind="stable").drop_duplicates(["q", "id"])
+        rank = every.groupby("q").cumcount().to_numpy()
+        every = every[rank < self.ks[every["q"]]].drop(columns="r")
+        full = every.groupby("q")["s"].agg(["size", "min"])
+        full = full[full["size"].to_numpy() >= self.ks[full.index]]
+        self.bound[full.index] = full["min"] - 1e-8  # ties are decided on rounded scores
+        self.frame, self.new, self.rows = every, [], 0
+        return every
+
+
 def batch_top_k(points: DataFrame, queries: DataFrame, *, id_col: str = "point_id", vector_col: str = "embedding",
                 query_id: str = "request_id", query_col: str = "query_vector", k_col: str | None = "top_k",
                 k: int = 5, dim: int = 64) -> DataFrame:
@@ -72,8 +106,8 @@ def batch_top_k(points: DataFrame, queries: DataFrame, *, id_col: str = "point_i
     q_type = asks.schema["q"].dataType.simpleString()
     total = asks.count()
     found = None
-    for part in range(max(1, -(-total // QUERIES_AT_ONCE))):
-        parts = max(1, -(-total // QUERIES_AT_ONCE))
+    parts = max(1, -(-total * dim // QUERY_ELEMENTS))
+    for part in range(parts):
         # a bounded block of queries, by hash; every block is one more scan
         rows = asks.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).collect()
         names = pa.array([r["q"] for r in rows])
@@ -82,30 +116,24 @@ def batch_top_k(points: DataFrame, queries: DataFrame, *, id_col: str = "point_i
         qv = qv / np.maximum(np.linalg.norm(qv, axis=1, keepdims=True), 1e-300)
 
         def run(batches: Iterator[pa.RecordBatch], names=names, ks=ks, qv=qv) -> Iterator[pa.RecordBatch]:
+            if not len(qv):
+                return
+            best = _Best(ks)
             for b in batches:
-                if not b.num_rows or not len(qv):
-                    continue
-                # a point delivered twice must not take up two places
-                b = b.take(pa.array(np.flatnonzero(~b.column(0).to_pandas().duplicated().to_numpy())))
+                ids = b.column(0).to_pandas().to_numpy()
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
                 for a in range(0, len(qv), 256):
-                    s = qv[a : a + 256] @ x.T
-                    want = np.minimum(ks[a : a + 256], s.shape[1])
-                    qi, pi = [], []
-                    for kk in np.unique(want):
-                        mine = np.flatnonzero(want == kk)
-                        floor = np.partition(s[mine], s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-                        r, c = np.nonzero(s[mine] >= floor[:, None])  # with all ties
-                        qi.append(mine[r])
-                        pi.append(c)
-                    qi, pi = np.concatenate(qi), np.concatenate(pi)
-                    yield pa.RecordBatch.from_arrays(
-                        [names.take(pa.array(qi + a)), pa.array(ks[qi + a], pa.int32()), b.column(0).take(pa.array(pi)),
-                         pa.array(s[qi, pi])],
-                        ["q", "k", "id", "s"],
-                    )
-
+                    for m in range(0, len(x), 4096):
+                        best.add(a, qv[a : a + 256] @ x[m : m + 4096].T, ids[m : m + 4096])
+            kept = best.kept()
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(kept["q"].to_numpy())), pa.array(ks[kept["q"]], pa.int32()),
+                 pa.array(kept["id"]).cast(b_type), pa.array(kept["s"].to_numpy())],
+                ["q", "k", "id", "s"],
+            )
+
+        b_type = to_arrow_type(base.schema["id"].dataType)
         one = base.mapInArrow(run, f"q {q_type}, k int, id {id_type}, s double")
         found = one if found is None else found.unionByName(one)
     w = Window.partitionBy("q").orderBy(F.desc(F.round("s", 9)), F.asc("id"))
