@@ -87,7 +87,7 @@ def _unpacked(c: pa.Array) -> pa.Array:
 
 def vector_to_base64(v: Column) -> Column:
     """Base64 of little-endian float32; null for null."""
-    return F.base64(_packed(v.cast("array<float>")))
+    return F.translate(F.base64(_packed(v.cast("array<float>"))), "\r\n", "")  # Spark breaks lines
 
 
 def base64_to_vector(c: Column) -> Column:

@@ -17,6 +17,6 @@ def any_in(**values: Sequence[str] | None) -> Column:
     return out
 
 
-def outdated(document_id: str, content_md5: str) -> Column:
+def outdated(document_id: str, content_md5: str, *, key: str = "document_id") -> Column:
     """Points of a document that were made from other content."""
-    return F.coalesce((F.col("document_id") == document_id) & (F.col("content_md5") != content_md5), F.lit(False))
+    return F.coalesce((F.col(key) == document_id) & (F.col("content_md5") != content_md5), F.lit(False))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecspark import tables
 from vecspark.functions import text, vectors
 from vecspark.operators import deletes, orphans, paging, search, stats
 from vecspark.plans import ingest, requests
@@ -107,15 +108,23 @@ def vector_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return _hits(search.search(points, _corpus(spark, d), _vector(points, 0), 5))
 
 
-@query(f"""{_Q0}, t AS (SELECT vec_id, {_COS} s FROM embeddings, q ORDER BY s DESC, vec_id LIMIT 20)
-SELECT vec_id, source, round(s, 5) score FROM t JOIN documents ON doc_id = vec_id WHERE lang = 'en'""")
+_USABLE = """len({c}) = 64 AND len(list_filter({c}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter({c}, lambda x: x <> 0)) > 0"""
+
+
+@query(f"""WITH p AS (SELECT DISTINCT point_id, document_id, embedding FROM points WHERE {_USABLE.format(c='embedding')}),
+q AS (SELECT embedding::DOUBLE[] v FROM p ORDER BY point_id LIMIT 1),
+t AS (SELECT point_id, document_id, {_COS} s FROM p, q ORDER BY s DESC, point_id LIMIT 200)
+SELECT point_id, round(s, 5) score FROM t JOIN store_documents USING (document_id)""")
 def search_with_orphans(spark: SparkSession, d: str) -> DataFrame:
-    """The limit comes before the join: points without a document use up places."""
-    points = _embeddings(spark, d)
-    docs = _table(spark, d, "documents").where("lang = 'en'").select(
-        F.col("doc_id").alias("document_id"), F.col("source").alias("source_id")
-    )
-    return _hits(search.search(points, docs, _vector(points, 0), 20))
+    """The limit comes before the join: points whose document does not exist use up places."""
+    v = F.col("embedding")
+    points = _points(spark, d).select("point_id", "document_id", "embedding").where(
+        (F.size(v) == _DIM) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0)
+    ).distinct()
+    first = points.orderBy("point_id").first()["embedding"]
+    found = search.search(points, _store(spark, d), list(first), 200)
+    return found.select("point.point_id", F.round("relevance_score", 5).alias("score"))
 
 
 @query(f"""{_Q0}, e AS (SELECT vec_id, embedding FROM embeddings
@@ -133,10 +142,6 @@ def search_zero_vector(spark: SparkSession, d: str) -> DataFrame:
     return best.select(F.col("point_id").alias("vec_id"), F.round("relevance_score", 5).alias("score"))
 
 
-_USABLE = """len({c}) = 64 AND len(list_filter({c}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-  AND len(list_filter({c}, lambda x: x <> 0)) > 0"""
-
-
 @query(f"""WITH r AS (SELECT request_id, query_vector::DOUBLE[] v, CASE WHEN top_k > 0 THEN top_k ELSE 5 END k
   FROM search_requests WHERE {_USABLE.format(c='query_vector')}),
 p AS (SELECT DISTINCT point_id, embedding::DOUBLE[] e FROM points WHERE {_USABLE.format(c='embedding')}),
@@ -234,7 +239,7 @@ def content_exists(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT * FROM manifest ORDER BY name LIMIT 1")
 def manifest_receive(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "manifest").orderBy("name").limit(1)
+    return tables.first_manifest(_table(spark, d, "manifest"))
 
 
 # --- removals ---------------------------------------------------------------
@@ -277,7 +282,7 @@ def outdated_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) n FROM store_documents WHERE NOT (source_id = 'src-0001' AND content_md5 <> 'x') OR source_id IS NULL")
 def remove_outdated_count(spark: SparkSession, d: str) -> DataFrame:
-    gone = F.coalesce((F.col("source_id") == "src-0001") & (F.col("content_md5") != "x"), F.lit(False))
+    gone = deletes.outdated("src-0001", "x", key="source_id")
     return _store(spark, d).where(~gone).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -348,8 +353,7 @@ def chunk_by_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT request_id, coalesce(length(query) % 4 = 0 AND regexp_full_match(query, '[A-Za-z0-9+/]+={0,2}'), false) like_base64
 FROM search_requests""")
 def is_base64(spark: SparkSession, d: str) -> DataFrame:
-    shape = (F.length("query") % 4 == 0) & F.col("query").rlike(r"\A[A-Za-z0-9+/]+={0,2}\z")
-    return _table(spark, d, "search_requests").select("request_id", F.coalesce(shape, F.lit(False)).alias("like_base64"))
+    return _table(spark, d, "search_requests").select("request_id", text.is_base64(F.col("query")).alias("like_base64"))
 
 
 @query(f"""WITH r AS (SELECT request_id, query, lower({_strip_sql('encoding')}) h, coalesce(len(query_vector), 0) > 0 given,
@@ -362,11 +366,20 @@ def request_routes(spark: SparkSession, d: str) -> DataFrame:
     return requests.dispatch(_table(spark, d, "search_requests")).select("request_id", "route")
 
 
-@query()
+@query("""WITH r AS (SELECT request_id, query, query_vector, coalesce(len(query_vector), 0) > 0 given,
+  lower(trim(encoding)) h, coalesce(length(query) % 4 = 0 AND regexp_full_match(query, '[A-Za-z0-9+/]+={0,2}')
+    AND (length(query) // 4) * 3 - (length(query) - length(rtrim(query, '='))) = 256, false) b64 FROM search_requests)
+SELECT request_id, CASE WHEN given THEN 'vector' ELSE 'base64' END route, CASE WHEN NOT given THEN query END coded,
+  CASE WHEN given THEN query_vector::FLOAT[] END vector
+FROM r WHERE given OR (coalesce(query, '') <> '' AND b64 AND coalesce(h NOT IN ('plaintext', 'vector'), true))""")
 def request_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The vectors of requests that need no model (decoded from base64)."""
-    return requests.dispatch(_table(spark, d, "search_requests")).where("route in ('vector', 'base64')").select(
-        "request_id", "route", "vector"
+    """The vectors of requests that need no model: given ones, and those decoded
+    from base64, which are shown coded again."""
+    got = requests.dispatch(_table(spark, d, "search_requests")).where("route in ('vector', 'base64')")
+    given = F.col("route") == "vector"
+    return got.select(
+        "request_id", "route", F.when(~given, vectors.vector_to_base64(F.col("vector"))).alias("coded"),
+        F.when(given, F.col("vector").cast("array<float>")).alias("vector"),
     )
 
 
@@ -391,13 +404,13 @@ def metadata_is_object(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH v AS (SELECT list_sort(list(value)) s, count(*) n FROM events WHERE value IS NOT NULL),
 q AS (SELECT s, n, greatest(1.0, least(n::DOUBLE, 0.95 * (n + 1))) w FROM v)
 SELECT count(*) queries, round(avg(value), 4) mean, round(quantile_cont(value, 0.5), 4) median, min(value) min, max(value) max,
-  round(any_value(s[floor(w)::INT] + (s[least(n, floor(w)::INT + 1)] - s[floor(w)::INT]) * (w - floor(w))), 4) p95
-FROM events, q WHERE value IS NOT NULL""")
+  round(any_value(s[floor(w)::INT] + (s[least(n, floor(w)::INT + 1)] - s[floor(w)::INT]) * (w - floor(w))), 4) p95,
+  0::BIGINT errors FROM events, q WHERE value IS NOT NULL""")
 def latency_stats(spark: SparkSession, d: str) -> DataFrame:
     got = stats.query_times(_table(spark, d, "events"), "value")
     return got.select(
         "queries", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), "min", "max",
-        F.round("p95", 4).alias("p95"),
+        F.round("p95", 4).alias("p95"), "errors",
     )
 
 

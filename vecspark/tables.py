@@ -169,11 +169,16 @@ class Points(_Table):
         return bool(self.frame().where(F.col("content_md5") == content_md5).limit(1).count())
 
 
+def first_manifest(rows: DataFrame) -> DataFrame:
+    """The manifest that counts, if a table holds several."""
+    return rows.orderBy("name").limit(1)
+
+
 class Manifests(_Table):
     table, key = MANIFEST, "name"
 
     def receive(self) -> Manifest | None:
-        rows = self.frame().orderBy("name").limit(1).collect()
+        rows = first_manifest(self.frame()).collect()
         return Manifest(**rows[0].asDict()) if rows else None
 
     def create(self, manifest: Manifest | Mapping[str, Any]) -> Manifest:
