@@ -47,7 +47,7 @@ SAMPLE = 20_000
 BUCKET, BUCKETS = 1 << 18, 4096
 #: A call of ``found_links`` takes whole batches until they have so many rows,
 #: or this share of the history's, whichever is more.
-CALL_ROWS, CALL_SHARE = 25_000, 0.1
+CALL_ROWS, CALL_SHARE = 1000, 0.1
 FEATURES = ("similarity", "same_md5", "same_name", "same_source", "length_ratio")
 
 
@@ -155,7 +155,7 @@ class History:
         rows = self._read("keys")
         if len(used) < n:
             rows = rows.where(F.col("bucket").isin(used) if used else F.lit(False))
-        met = maybe_in(rows.select("key", "cls"), keys, "key").join(keys.select("key").distinct(), "key", "left_semi")
+        met = maybe_in(rows.select("key", "cls"), keys, "key").join(keys.select("key").distinct(), "key")
         return write(met.distinct(), "probed").df, len(used) / n
 
     def table(self, *cols: str) -> DataFrame:
@@ -284,9 +284,10 @@ def link(history: History, batch: DataFrame, threshold: float = 0.6) -> Linked:
 
     shown = ("in_id", "ord", "accepted_id", "rank", "similarity", "same_form")
     before = theirs.select(F.col("id").alias("accepted_id"), F.col("rank"), F.col("cls").alias("y"))
-    old = before.join(to_old.select("y").distinct(), "y", "left_semi").distinct()
+    linked = to_old.select("y").distinct()
+    old = write(maybe_in(before, linked, "y").join(linked, "y").select(*before.columns).distinct(), "linked-records").df
     arrived = rows.select(F.col("id").alias("in_id"), "ord", F.col("cls").alias("x"))
-    n_rows, n_old = rows.count(), theirs.count()
+    n_rows, n_old = rows.count(), old.count()
     a = join_salted(join_salted(to_old, old, "y", "accepted_id", n_old), arrived, "x", "in_id", n_rows).select(*shown)
     new = accepted.select(
         F.col("id").alias("accepted_id"), _arrived("ord").alias("rank"), F.col("ord").alias("acc_ord"), F.col("cls").alias("y")
@@ -312,7 +313,8 @@ def _rejected(pairs: DataFrame, held: DataFrame, sets: DataFrame, rows: DataFram
     known = near.similarities(some, sets).select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y"), "similarity")
     known = known.unionByName(known.select(F.col("y").alias("x"), F.col("x").alias("y"), "similarity"))
     left = rows.groupBy(F.col("cls").alias("x")).agg(F.min(F.struct("ord", "id")).alias("l"))
-    right = records.join(known.select("y").distinct(), "y", "left_semi").groupBy("y").agg(F.min(F.struct("accepted_id", "rank")).alias("r"))
+    met = known.select("y").distinct()
+    right = maybe_in(records, met, "y").join(met, "y").groupBy("y").agg(F.min(F.struct("accepted_id", "rank")).alias("r"))
     return known.join(left, "x").join(right, "y").select(
         F.col("l.id").alias("in_id"), F.col("l.ord").alias("ord"), F.col("r.accepted_id").alias("accepted_id"), F.col("r.rank").alias("rank"),
         "similarity", F.lit(False).alias("same_form"),

@@ -224,7 +224,7 @@ def _class_sets(classes: DataFrame, sources: list[Source]) -> DataFrame:
     sets = None
     for profiles, table, id_col, text_col in sources:
         reps = write(
-            profiles.select("id", "cls", "in_order", "as_card").join(wanted, "cls")
+            maybe_in(profiles.select("id", "cls", "in_order", "as_card"), wanted, "cls").join(wanted, "cls")
             .groupBy("cls", "in_order", "as_card").agg(F.min("id").alias("id")),
             "near-texts",
         ).df
