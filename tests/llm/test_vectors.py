@@ -145,6 +145,59 @@ def test_many_more_lists_than_a_query_may_skip(spark, monkeypatch):
     assert len(close) > 50 and {tuple(r) for r in knn.found_pairs(df).collect()} == close
 
 
+def crowded(seed=5):
+    """Clusters, rows around none of them, close pairs of both kinds, and a crowd of close rows."""
+    rng = np.random.RandomState(seed)
+    c = rng.normal(size=(6, 64))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    x = np.concatenate([around(rng, v, 250) for v in c] + [rng.normal(size=(250, 64)) / 8, around(rng, c[0], 150, 0.99)])
+    return np.concatenate([x, x[::7] + rng.normal(size=(len(x[::7]), 64)) * rng.uniform(0, 0.04, (len(x[::7]), 1))])
+
+
+@pytest.mark.parametrize("part", [131_072, 90])
+def test_found_pairs_of_groups_in_parts(spark, monkeypatch, part):
+    monkeypatch.setattr(knn, "PART", part)
+    monkeypatch.setattr(knn, "LIST", 64)
+    x = crowded()
+    want, s = brute(x.astype(np.float32).astype(float))
+    close = {tuple(sorted((f"p{i:05d}", f"p{j:05d}"))) for i in range(len(x)) for j in want[i] if s[i, j] >= 0.95}
+    df = spark.createDataFrame(rows_of(x) + BAD, SCHEMA)
+    got = [tuple(r) for r in knn.found_pairs(df).collect()]
+    assert len(close) > 500 and len(got) == len(close) and set(got) == close
+
+
+def test_found_pairs_compares_each_pair_once_and_few(spark):
+    x = crowded()
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    lists = knn.Lists(knn.spherical_kmeans(u, 24))
+    reach = knn.Reach(lists, 0.95)
+    home, rows, grp = reach.met(u)
+    best, tested = np.full((len(u), 5), -2.0), 0
+    for g in np.unique(grp):
+        at = rows[grp == g]
+        inside = reach.group[home[at]] == g
+        if inside.any():
+            part = knn.Part(reach, u[at[inside]], home[at[inside]], at[inside], 5)
+            asking = at[~inside]
+            _, score = part.ask(u[asking], home[asking], asking, np.zeros(len(asking), bool))
+            for i, new in ((at[inside], part.score), (asking, score)):
+                best[i] = -np.sort(-np.concatenate([best[i], new], 1), 1)[:, :5]
+            tested += part.tested
+    want, s = brute(u.astype(float))
+    want = np.take_along_axis(s, want, 1)
+    assert np.allclose(np.where(best >= 0.95, best, 0), np.where(want >= 0.95, want, 0), atol=1e-5)
+    # the search of neighbours of any cosine, which found_pairs used to be
+    probed, probes = lists.probed(u, np.arange(24))
+    every = np.ones(len(u), bool)
+    *_, done, whole = knn.scan_lists(u, probed, every, every, probes, 5)
+    assert tested < 0.15 * len(u) ** 2 and tested * 26 < 0.3 * done
+
+
+def test_found_pairs_of_few_points(spark):
+    assert knn.found_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert knn.found_pairs(spark.createDataFrame(rows_of(np.eye(64)[:3]), SCHEMA)).count() == 0
+
+
 def test_few_points(spark):
     assert knn.neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
     assert knn.neighbours(spark.createDataFrame(rows_of(np.eye(64)[:1]), SCHEMA)).count() == 0

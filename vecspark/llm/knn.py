@@ -17,6 +17,11 @@ those whose partial distance lets the whole be below the bound, or be that of a
 cosine of SURE, where the test is far stricter.  Long groups are cut into tiles,
 so a task holds a bounded number of members and queries.
 
+Who wants only neighbours from some cosine on (``found_pairs``) gets them from
+``Close``: borders and angles to centres leave the lists that can hold one, the
+first block of dimensions is tested against the wanted distance, as strictly as
+for SURE, and no other neighbour is looked for.
+
 Equal vectors are one entry of the index; a group of copies, however large, is
 expanded only in the final pairs.
 
@@ -49,6 +54,8 @@ SURE = 0.95
 REACH = (1 - SURE * SURE) ** 0.5
 #: Members and queries of a tile at most, on average.
 TILE, ASKING = 16_384, 40_960
+#: Members of a part of a group of ``Close`` at most, on average.
+PART = 262_144
 #: Queries and members compared at a time, and members that give a query without
 #: any bound its first one.
 _QUERIES, _MEMBERS, _FIRST = 512, 1024, 256
@@ -222,16 +229,41 @@ class Lists:
         return rows, groups, self.group[home[rows]] == groups
 
 
+def _listed(cls: np.ndarray, names: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """(cls, o, c) of those that have neighbours: these, best first, and their cosines."""
+    n = (score > -2).sum(1)
+    cls, names, score, n = (c[n > 0] for c in (cls, names, score, n))
+    kept = np.arange(score.shape[1])[None] < n[:, None]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (names[kept], score[kept].astype(np.float64))]
+    return pa.RecordBatch.from_arrays([pa.array(cls), *lists], ["cls", "o", "c"])
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    """(cls, others) of the results (cls, o, c) of all tasks."""
+    return met.groupBy("cls").agg(
+        F.slice(
+            F.array_sort(F.flatten(F.collect_list(F.zip_with(
+                "o", "c", lambda o, c: F.struct((-c).alias("c"), o.alias("o")))))),
+            1, k,
+        ).alias("others")
+    )
+
+
 class Index:
     """Lists of the distinct vectors (cls, vec) of a table."""
 
+    #: Lists at most.
+    MOST = SAMPLE // 16
+
     def __init__(self, entries: DataFrame, dim: int, n: int):
         self.entries, self.dim, self.n = entries, dim, n
-        lists = max(1, min(SAMPLE // 16, -(-n // LIST)))
+        lists = max(1, min(self.MOST, -(-n // LIST)))
+        size, h = min(SAMPLE, 64 * lists), F.xxhash64("cls")
+        # the smallest hashes, of which only about twice as many are sorted
+        some = entries.where(h < -(1 << 63) + (1 << 65) * size // n) if n > 4 * size else entries
         sample = np.array(
-            [np.frombuffer(r[0], np.float32) for r in
-             entries.orderBy(F.xxhash64("cls")).select("vec").limit(min(SAMPLE, 64 * lists)).collect()],
-            np.float32,
+            [np.frombuffer(r[0], np.float32) for r in some.orderBy(h).select("vec").limit(size).collect()], np.float32
         ).reshape(-1, dim)
         self.turn = rotation(dim)
         self.lists = Lists(spherical_kmeans(sample, lists)) if len(sample) else None
@@ -317,28 +349,241 @@ class Index:
             lists = np.flatnonzero(index.group == rows.column("grp")[0].as_py())
             at, probes = index.probed(x, lists)
             asked, best, score, *_ = scan_lists(x, np.searchsorted(lists, at), home, asks, probes, k)
-            n = (best >= 0).sum(1)
-            asked, best, score, n = (c[n > 0] for c in (asked, best, score, n))
-            kept = np.arange(k)[None] < n[:, None]
-            offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-            lists_of = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (cls[best[kept]], score[kept].astype(np.float64))]
-            return pa.table([pa.array(cls[asked]), *lists_of], ["cls", "o", "c"])
-
-        met = tiled.groupBy("grp", "mt", "qt").applyInArrow(tile, "cls long, o array<long>, c array<double>")
+            return pa.Table.from_batches([_listed(cls[asked], cls[best], score)])
+
         # a query has k entries at most per tile of the groups it probes
-        return met.groupBy("cls").agg(
-            F.slice(
-                F.array_sort(F.flatten(F.collect_list(F.zip_with(
-                    "o", "c", lambda o, c: F.struct((-c).alias("c"), o.alias("o")))))),
-                1, k,
-            ).alias("others")
+        return _best(tiled.groupBy("grp", "mt", "qt").applyInArrow(tile, "cls long, o array<long>, c array<double>"), k)
+
+
+class Reach:
+    """Which lists can hold a vector within a cosine of ``least`` of another.
+
+    A list has two units: its core, and its rim of the members that are more than
+    three times the angle of ``least`` away from the centre.  A vector meets the
+    units that the border between two lists and the angles to the centre allow:
+    both bounds are exact.  As they hold for either vector of a pair, only the one
+    in the unit of the higher number asks; units of rims have the higher ones.
+    """
+
+    def __init__(self, lists: Lists, least: float):
+        self.centres, self.apart, self.least = lists.centres, lists.apart, least
+        self.angle = float(np.arccos(least)) + 1e-3
+        self.border, self.cut = (1 - least * least) ** 0.5, 3 * self.angle
+        #: Group of each unit; all rims are one.
+        self.group = np.concatenate([lists.group, np.full(len(lists.centres), lists.groups)])
+
+    def met(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit of each row; row and group of every group that it belongs to or asks)."""
+        n, groups = len(self.centres), int(self.group[-1]) + 1
+        units, pairs = np.empty(len(x), np.int64), []
+        for i in range(0, len(x), 4096):
+            c = x[i : i + 4096] @ self.centres.T
+            own, top = c.argmax(1), c.max(1)
+            home = np.where(np.arccos(np.minimum(top, 1)) > self.cut, own + n, own)
+            r, at = np.nonzero(top[:, None] - c <= self.border * self.apart[own] + 1e-5)
+            angle = np.arccos(np.clip(c[r, at], -1, 1))
+            core = (at < home[r]) & (angle <= self.cut + self.angle)
+            rim = (at + n < home[r]) & (angle >= self.cut - self.angle)
+            rows = np.concatenate([np.arange(len(own)), r[core], r[rim]]) + i
+            asked = np.concatenate([home, at[core], at[rim] + n])
+            units[i : i + 4096] = home
+            pairs.append(np.unique(rows * groups + self.group[asked]))
+        pairs = np.concatenate(pairs) if pairs else units
+        return units, pairs // groups, pairs % groups
+
+    def asks(self, home: np.ndarray, later: np.ndarray, x: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether rows ask each of ``units``, angles to their centres).  ``home``:
+        the units of the rows; ``later``: rows that ask units of any number."""
+        n = len(self.centres)
+        c = x @ self.centres[units % n].T
+        top = np.einsum("ij,ij->i", x, self.centres[home % n])
+        angle = np.arccos(np.clip(c, -1, 1))
+        within = np.where(units < n, angle <= self.cut + self.angle, angle >= self.cut - self.angle)
+        near = top[:, None] - c <= self.border * self.apart[(home % n)[:, None], units % n] + 2e-5
+        return (later[:, None] | (home[:, None] > units)) & within & near, angle
+
+
+class Part:
+    """Members of a part of a group, compared with each other and then with rows
+    that ask them.  ``best`` (names, where ``score`` is above -2) and ``score``
+    (cosines) are the members' k best; ``tested`` counts the pairs compared."""
+
+    def __init__(self, reach: Reach, x: np.ndarray, home: np.ndarray, names: np.ndarray, k: int):
+        self.reach, self.names, self.k, self.tested = reach, names, k, 0
+        self.best, self.score = self._none(len(x))
+        first, dim = round(ENDS[0] * x.shape[1]), x.shape[1]
+        self.first = first
+        self.limit = first / dim * (2 - 2 * reach.least) * (1 + EPS_SURE / first**0.5) ** 2 + 1e-5
+        self.numbers, self.units = np.unique(home), []
+        for u in self.numbers:
+            rows = np.flatnonzero(home == u)
+            angle = np.arccos(np.clip(x[rows] @ reach.centres[u % len(reach.centres)], -1, 1))
+            order = np.argsort(angle, kind="stable")
+            rows, angle = rows[order], angle[order]
+            v, norm = x[rows], np.einsum("ij,ij->i", x[rows, :first], x[rows, :first])[:, None]
+            right = np.ascontiguousarray(np.concatenate([v[:, :first], np.ones_like(norm), -norm / 2], 1).T)
+            self.units.append((rows, angle, v, right))
+            self._meet(self.units[-1], v, angle, rows, names, self.best, self.score, True)
+        self._ask(x, home, names, np.zeros(len(x), bool), self.best, self.score)
+
+    def _none(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros((n, self.k), np.int64), np.full((n, self.k), -2.0, np.float32)
+
+    def ask(self, x: np.ndarray, home: np.ndarray, names: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(best, score) of rows that are no members."""
+        best, score = self._none(len(x))
+        self._ask(x, home, names, later, best, score)
+        return best, score
+
+    def _ask(self, x, home, names, later, best, score) -> None:
+        for a in range(0, len(x), 16_384):
+            asks, angles = self.reach.asks(home[a : a + 16_384], later[a : a + 16_384], x[a : a + 16_384], self.numbers)
+            for i in np.flatnonzero(asks.any(0)):
+                rows = np.flatnonzero(asks[:, i])
+                rows = rows[np.argsort(angles[rows, i], kind="stable")]
+                self._meet(self.units[i], x[rows + a], angles[rows, i], rows + a, names, best, score)
+
+    def _meet(self, unit, x, angle, at, names, best, score, same=False) -> None:
+        """Compare rows (``at`` in names, best and score) with a unit, or with
+        those of it that come after them if they are the ``same``; both by angle."""
+        members, angles, y, right = unit
+        first = self.first
+        norm = np.einsum("ij,ij->i", x[:, :first], x[:, :first])[:, None]
+        # the test is part of the product: above zero is within the limit
+        left = np.concatenate([x[:, :first], (self.limit - norm) / 2, np.ones_like(norm)], 1).astype(np.float32)
+        for a in range(0, len(x), _QUERIES):
+            b = min(a + _QUERIES, len(x))
+            lo = a if same else np.searchsorted(angles, angle[a] - self.reach.angle)
+            hi = np.searchsorted(angles, angle[b - 1] + self.reach.angle, "right")
+            for m0 in range(lo, hi, 2 * _MEMBERS):
+                m1 = min(m0 + 2 * _MEMBERS, hi)
+                self.tested += (b - a) * (m1 - m0)
+                close = np.flatnonzero((left[a:b] @ right[:, m0:m1]).reshape(-1) > 0)
+                if not len(close):
+                    continue
+                i, j = a + close // (m1 - m0), m0 + close % (m1 - m0)
+                if len(close) * 16 > (b - a) * (m1 - m0):  # a crowd
+                    v = (x[a:b] @ y[m0:m1].T).reshape(-1)[close]
+                else:
+                    v = np.einsum("ij,ij->i", x[i], y[j])
+                ok = v >= self.reach.least - 1e-6
+                if same:
+                    ok &= j > i
+                q, m, v = at[i[ok]], members[j[ok]], v[ok]
+                self._put(best, score, q, self.names[m], v)
+                self._put(self.best, self.score, m, names[q], v)
+
+    @staticmethod
+    def _put(best, score, rows, names, values) -> None:
+        ok = np.flatnonzero(values >= score[rows, -1])
+        if len(ok):
+            ok = ok[np.argsort(rows[ok], kind="stable")]
+            _merge(best, score, rows[ok], names[ok], values[ok])
+
+
+class Close(Index):
+    """Index of the pairs with a cosine of ``least`` (above 0) and more: each is
+    tested once, for both of its vectors, and nothing is compared for the sake of
+    less similar neighbours.  Groups are cut into parts; a task holds the members
+    of one, and the rows that ask it pass by: those of later parts of the group,
+    and those of other groups."""
+
+    MOST = 256
+
+    def __init__(self, entries: DataFrame, dim: int, n: int, least: float):
+        super().__init__(entries, dim, n)
+        self.least = least
+        if self.lists is not None and n > PART * self.lists.groups:
+            centres = self.lists.centres
+            middles = spherical_kmeans(centres, -(-n // PART))
+            self.lists = Lists(centres, np.unique((centres @ middles.T).argmax(1), return_inverse=True)[1])
+
+    def rows(self) -> DataFrame:
+        """(grp, part, asks, later, home, cls, vec): every entry as a member of its
+        part, and as one that asks others; ``vec`` is rotated."""
+        reach, turn, dim = Reach(self.lists, self.least), self.turn, self.dim
+        groups = self.lists.groups + 1
+
+        def numbers(x: np.ndarray) -> np.ndarray:
+            home, rows, grp = reach.met(x)
+            return grp[reach.group[home[rows]] == grp]
+
+        cuts = np.maximum(1, -(-self._counts(groups, numbers) // PART))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = matrix(b.column(1), dim)
+                if not len(x):
+                    continue
+                home, rows, grp = reach.met(x)
+                key = mix(np.asarray(b.column(0)).view(np.uint64))[rows]
+                parts = cuts[grp]
+                member = reach.group[home[rows]] == grp
+                own = np.where(member, (key % parts.astype(np.uint64)).astype(np.int64), parts)
+                sent = [(at, np.full(len(at), i)) for i in range(int(parts.max()))
+                        for at in [np.flatnonzero((i <= own) & (i < parts))]]
+                at, part = (np.concatenate(c) for c in zip(*sent))
+                turned = x @ turn
+                for i in range(0, len(at), 20_000):
+                    j, p = at[i : i + 20_000], part[i : i + 20_000]
+                    r = rows[j]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(grp[j], pa.int32()), pa.array(p, pa.int32()), pa.array(own[j] != p),
+                         pa.array(member[j]), pa.array(home[r], pa.int32()), b.column(0).take(pa.array(r)), binary(turned[r])],
+                        ["grp", "part", "asks", "later", "home", "cls", "vec"],
+                    )
+
+        return self.entries.select("cls", "vec").mapInArrow(
+            run, "grp int, part int, asks boolean, later boolean, home int, cls long, vec binary"
         )
 
+    def neighbours(self, k: int) -> DataFrame:
+        """(cls, others) as of ``Index``, of cosines of about ``least`` and more;
+        vectors without any may be missing."""
+        if self.lists is None:
+            return super().neighbours(k)
+        dim, reach = self.dim, Reach(self.lists.turned(self.turn), self.least)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key, held, part = None, [], None
+            for b in batches:
+                grp, cut, asks, later, home, cls = (b.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+                x = matrix(b.column(6), dim)
+                turns = np.flatnonzero((np.diff(grp) != 0) | (np.diff(cut) != 0) | (asks[1:] != asks[:-1])) + 1
+                for a, z in zip([0, *turns], [*turns, len(x)]):
+                    if a == z:
+                        continue
+                    if key != (grp[a], cut[a]):
+                        yield from finish(held, part)
+                        key, held, part = (grp[a], cut[a]), [], None
+                    mine = x[a:z], home[a:z].astype(np.int64), cls[a:z]
+                    if not asks[a]:  # members come first
+                        held.append(tuple(c.copy() for c in mine))
+                        continue
+                    if part is None and held:
+                        part, held = start(held), []
+                    if part is not None:
+                        yield _listed(cls[a:z], *part.ask(*mine, later[a:z]))
+            yield from finish(held, part)
+
+        def start(held: list) -> Part:
+            return Part(reach, *(np.concatenate(c) for c in zip(*held)), k)
+
+        def finish(held: list, part: Part | None) -> Iterator[pa.RecordBatch]:
+            part = start(held) if held else part
+            if part is not None:
+                yield _listed(part.names, part.best, part.score)
+
+        rows = self.rows().repartition("grp", "part").sortWithinPartitions("grp", "part", "asks")
+        return _best(rows.mapInArrow(run, "cls long, o array<long>, c array<double>"), k)
+
 
 def _prepared(points: DataFrame, id_col: str, vector_col: str, dim: int) -> tuple[DataFrame, DataFrame, int]:
-    rows = write(unit_vectors(points, vector_col, [id_col], dim).withColumnRenamed(id_col, "id"), "units").df
+    units = write(unit_vectors(points, vector_col, [id_col], dim).withColumnRenamed(id_col, "id"), "units")
+    rows = units.df
     members = write(rows.select("id", "cls").distinct(), "unit-members").df
     entries = write(rows.groupBy("cls").agg(F.first("vec").alias("vec")), "unit-entries").df
+    units.drop()
     return members, entries, entries.count()
 
 
@@ -350,7 +595,7 @@ def neighbours(points: DataFrame, id_col: str = "point_id", vector_col: str = "e
 
 def _expanded(points: DataFrame, id_col: str, vector_col: str, k: int, dim: int, least: float) -> DataFrame:
     members, entries, n = _prepared(points, id_col, vector_col, dim)
-    found = Index(entries, dim, n).neighbours(k)
+    found = (Close(entries, dim, n, least) if least > 0 else Index(entries, dim, n)).neighbours(k)
     pairs = write(
         found.select("cls", F.posexplode("others").alias("at", "x"))
         .select("cls", "at", F.col("x.o").alias("other"), (-F.col("x.c")).alias("cosine"))
