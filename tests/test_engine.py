@@ -153,6 +153,38 @@ def test_points(db):
     assert pts.count() == 1
 
 
+def with_metadata(db, texts):
+    """A document and a point for each metadata text, stored as it is."""
+    rows = [(f"k{i}", t) for i, t in enumerate(texts)]
+    frame = db.store.spark.createDataFrame(rows, "document_id string, metadata string")
+    db.store.commit(append={
+        "documents": frame.selectExpr(
+            "document_id", "'n' AS name", "'text' AS content", "md5('text') AS content_md5", "'s' AS source_id", "0 AS chunk_index",
+            "false AS is_chunk", "1 AS total_tokens", "metadata", "0 AS created_at", "0 AS updated_at"),
+        "points": frame.selectExpr("document_id AS point_id", "document_id", "'m' AS content_md5", "array(1.0, 2.0) AS embedding", "metadata"),
+    })
+
+
+ODD_METADATA = ['{"lang": ', '{"lang": "en"}', "[1]", "3", "", None, "nul", "[" * 100_000]
+ODD_DICTS = [{}, {"lang": "en"}, {}, {}, {}, {}, {}, {}]
+
+
+def test_retrieve_with_broken_metadata(db):
+    with_metadata(db, ODD_METADATA)
+    assert [x.metadata for x in db.documents.retrieve_many([f"k{i}" for i in range(9)])] == ODD_DICTS
+    assert db.documents.retrieve("k0").metadata == db.points.retrieve("k0").metadata == {}
+    assert db.documents.frame().where("document_id = 'k0'").first()["metadata"] == '{"lang": '  # the row keeps its text
+    with pytest.raises(ValueError):
+        Document("x", metadata='{"lang": ')  # new records are still checked
+
+
+def test_retrieve_many_ids(db, monkeypatch):
+    with_metadata(db, ["{}"] * 5)
+    monkeypatch.setattr("vecspark.tables.LISTED_IDS", 2)
+    got = db.documents.retrieve_many(["k3", "none", "k0", "k3", None, "k1"])
+    assert [x.document_id for x in got] == ["k0", "k1", "k3"] and got[0].content == "text" and got[0].source_id == "s"
+
+
 def test_manifest(db):
     assert db.manifest.receive() is None
     assert db.manifest.create({"embedding_model": "m", "embedding_dimensions": 1536}).points_table_name == "points"

@@ -29,10 +29,25 @@ def ensure_dict(value: Any) -> dict[str, Any]:
     return json.loads(value) if isinstance(value, str) else json.loads(json.dumps(value, default=str))
 
 
+def stored_dict(value: Any) -> dict[str, Any]:
+    """``ensure_dict`` of a stored row's metadata; empty for broken JSON and
+    for what is no object, like ``text.json_object``."""
+    try:
+        found = ensure_dict(value)
+    except (ValueError, RecursionError):
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
 def _known(cls: type, values: Mapping[str, Any]) -> dict[str, Any]:
     return {k: v for k, v in values.items() if k in cls.__dataclass_fields__}  # extras are ignored
 
 
+def _stored(row: Row) -> dict[str, Any]:
+    values = row.asDict()
+    return values | {"metadata": stored_dict(values.get("metadata"))}
+
+
 def _now() -> int:
     return int(time.time())
 
@@ -92,7 +107,7 @@ class Document:
     def of(cls, value: Document | Mapping[str, Any] | Row) -> Document:
         if isinstance(value, cls):
             return value.sanitize()
-        return cls(**_known(cls, value.asDict() if isinstance(value, Row) else value))
+        return cls(**_known(cls, _stored(value) if isinstance(value, Row) else value))
 
     @staticmethod
     def hash_content(text: str) -> str:
@@ -144,7 +159,7 @@ class Point:
     def of(cls, value: Point | Mapping[str, Any] | Row) -> Point:
         if isinstance(value, cls):
             return value
-        return cls(**_known(cls, value.asDict() if isinstance(value, Row) else value))
+        return cls(**_known(cls, _stored(value) if isinstance(value, Row) else value))
 
     def row(self) -> dict[str, Any]:
         return {

@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from vecspark.errors import NotFoundError
 from vecspark.models import Document, Manifest, Point
 from vecspark.operators import deletes, paging
+from vecspark.runtime import maybe_broadcast
 from vecspark.schema import DOCUMENT_SCHEMA, DOCUMENTS, MANIFEST, MANIFEST_SCHEMA, POINT_SCHEMA, POINTS
 from vecspark.sources.store import Store
 
+#: Ids that a lookup names in a filter, which reaches the scan; more are joined.
+LISTED_IDS = 1000
+
 
 class _Table:
     table: str
@@ -61,8 +65,14 @@ class Documents(_Table):
     def retrieve_many(self, document_ids: Sequence[str]) -> list[Document]:
         """The documents of these ids that exist, in the order of their ids."""
         ids = list(dict.fromkeys(document_ids))
-        rows = self.frame().where(F.col("document_id").isin(ids)).orderBy("document_id").collect() if ids else []
-        return [Document.of(r) for r in rows]
+        if not ids:
+            return []
+        if len(ids) <= LISTED_IDS:
+            found = self.frame().where(F.col("document_id").isin(ids))
+        else:
+            wanted = self.store.spark.createDataFrame([(i,) for i in ids], "document_id string")
+            found = self.frame().join(maybe_broadcast(wanted, len(ids)), "document_id", "left_semi")
+        return [Document.of(r) for r in found.orderBy("document_id").collect()]
 
     def create(self, document: Document | Mapping[str, Any]) -> Document:
         return self.bulk_create([document])[0]
