@@ -178,6 +178,15 @@ def test_retrieve_with_broken_metadata(db):
         Document("x", metadata='{"lang": ')  # new records are still checked
 
 
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_pages_with_broken_metadata(db, order):
+    with_metadata(db, ODD_METADATA)
+    step = 1 if order == "asc" else -1
+    for table in (db.documents, db.points):
+        assert [x.metadata for x in table.gen(limit=3, order=order)] == ODD_DICTS[::step]
+        assert [x.metadata for x in table.list(limit=3, order=order).data] == ODD_DICTS[::step][:3]
+
+
 def test_retrieve_many_ids(db, monkeypatch):
     with_metadata(db, ["{}"] * 5)
     monkeypatch.setattr("vecspark.tables.LISTED_IDS", 2)
